@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from citewell.llm import quality
+from citewell.llm import media, mixing, neardup, pieces, quality, secrets, urlfilter
 
 QUERIES = {
+    "op3_pieces": pieces.op3_pieces,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_neardup": neardup.op6_neardup,
     "op7_quality": quality.op7_quality,
+    "op8_media": media.op8_media,
+    "op10_urlfilter": urlfilter.op10_urlfilter,
 }
 ORACLES = {
+    "op4_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op10_urlfilter": urlfilter.ORACLE,
 }
