@@ -1,5 +1,57 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: documents in, training pieces out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept; between stages the rows are a written table. All but the last return the
+columns of the input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from citewell.llm import mixing, neardup, pieces, quality, secrets
+from citewell.llm.common import documents, durable
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy rejects go."""
+    return quality.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    return neardup.keep_representatives(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live secrets are redacted; widely copied examples and clean texts stay as they are."""
+    return secrets.redact_documents(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated and cut so that each source gives its target of words."""
+    return mixing.mix_documents(docs)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digest of every row's pieces."""
+    return pieces.digest(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("piece_encoding", piece_encoding),
+]
+
+#: SQL has no SimHash components and no piece encoding; tests use brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
