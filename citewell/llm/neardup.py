@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citewell.llm.common import discard, documents, durable
@@ -136,17 +137,21 @@ def _stars(hot: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: pairs of distinct fingerprints at most two bits apart, all of them
     but for large buckets, whose members are linked through their smallest."""
-    index = variants(fps)
-    # Keys that only one fingerprint has, nearly all of them, go before the join.
-    shared = durable(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    index = durable(index.join(shared, "key"), "simhash-index")
-    entries, hot = index.where(F.col("n") <= bucket), index.where(F.col("n") > bucket)
+    # Most keys have one fingerprint; they go where the index is dealt by key, so
+    # that it is dealt once. A neighbour in key order tells without a count.
+    by_key = W.partitionBy("key").orderBy("fp")
+    near = F.lag("fp").over(by_key).isNotNull() | F.lead("fp").over(by_key).isNotNull()
+    index = variants(fps).withColumn("near", near).where("near").drop("near")
+    index = durable(index, "simhash-index")
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = durable(sizes.where(F.col("n") > bucket).select("key"), "simhash-hot")
+    entries = index.join(hot, "key", "left_anti")
     left = entries.where("bit IS NULL OR NOT bit").select("key", F.col("fp").alias("a"), F.col("bit").isNull().alias("same"))
     right = entries.where("bit IS NULL OR bit").select("key", F.col("fp").alias("b"), F.col("bit").isNull().alias("same"))
     pairs = left.join(right, ["key", "same"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & (_differing("a", "b") <= 2))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_stars(hot.select("fp", "key")))
+        pairs = pairs.unionByName(_stars(index.join(hot, "key").select("fp", "key")))
     return pairs
 
 
