@@ -19,8 +19,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ MAX_TERMS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Count given to a term that a language has not shown.
 FLOOR = 0.5
+#: Unseen words whose n-grams a worker remembers.
+CACHED = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
@@ -87,48 +89,60 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Log frequencies of words and n-grams: a row per term, a column per language."""
 
     def __init__(self, langs: list[str], totals: dict[tuple[str, int], int], terms: dict[tuple[int, str], dict[str, int]]):
         self.langs = langs
-        # One scale for all languages: a term's share of its language, so that a
-        # language with more training text has no head start.
-        self.base = [
-            [math.log(FLOOR / (totals.get((g, k), 0) + 1)) for g in langs] for k in range(LONGEST + 1)
-        ]
-        self.terms: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
-        for (kind, term), by in terms.items():
-            self.terms[kind][term] = [
-                math.log((by.get(g, 0) + FLOOR) / (totals.get((g, kind), 0) + 1)) for g in langs
-            ]
-        self.score = lru_cache(maxsize=1 << 16)(self.score_of)
-
-    def score_of(self, word: str) -> list[float]:
-        known = self.terms[0].get(word)
-        return known if known is not None else self.backed_off(word)
-
-    def backed_off(self, word: str) -> list[float]:
-        """At each position the longest known n-gram; their mean weighs as one word."""
-        marked, total, n = f"<{word}>", [0.0] * len(self.langs), 0
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.table = np.zeros((len(terms), len(langs)))
+        # A term counts by its share of its language, so that a language with more
+        # training text has no head start.
+        for row, ((kind, term), by) in enumerate(sorted(terms.items())):
+            (self.grams if kind else self.words)[term] = row
+            self.table[row] = [math.log((by.get(g, 0) + FLOOR) / (totals.get((g, kind), 0) + 1)) for g in langs]
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> tuple:
+        return self.langs, self.words, self.grams, self.table
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, self.words, self.grams, self.table = state
+        self.seen = {}
+
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The word's row, or at each letter that of the longest known n-gram."""
+        row = self.words.get(word)
+        if row is not None:
+            return (row,)
+        marked, grams, out = f"<{word}>", self.grams, []
         for k in range(len(marked)):
-            for size in range(min(LONGEST, len(marked) - k), 0, -1):
-                found = self.terms[size].get(marked[k : k + size])
-                if found is not None:
-                    total = [a + b for a, b in zip(total, found, strict=True)]
-                    n += 1
+            for size in range(LONGEST, 0, -1):
+                row = grams.get(marked[k : k + size])
+                if row is not None:
+                    out.append(row)
                     break
-        return [t / n for t in total] if n else [0.0] * len(self.langs)
+        return tuple(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """Each word weighs one, shared among its n-grams if it is unseen."""
         words = Counter(words_of(text or ""))
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total = [0.0] * len(self.langs)
-        for word in sorted(words):  # one order of summing, whatever the text's
-            n = words[word]
-            total = [a + n * b for a, b in zip(total, self.score(word), strict=True)]
-        best = max(range(len(total)), key=lambda k: (total[k], -k))
-        return self.langs[best], 1 / sum(math.exp(max(-700.0, t - total[best])) for t in total)
+        index: list[int] = []
+        weight: list[float] = []
+        for word, n in words.items():
+            rows = self.seen.get(word)
+            if rows is None:
+                if len(self.seen) >= CACHED:
+                    self.seen.clear()
+                rows = self.seen[word] = self.rows(word)
+            if rows:
+                index += rows
+                weight += [n / len(rows)] * len(rows)
+        total = np.array(weight) @ self.table[index] if index else np.zeros(len(self.langs))
+        best = int(np.argmax(total))
+        return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
 def fit(labelled: DataFrame, most_rows: int = MAX_ROWS, most_terms: int = MAX_TERMS) -> Model:
@@ -148,12 +162,10 @@ def fit(labelled: DataFrame, most_rows: int = MAX_ROWS, most_terms: int = MAX_TE
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score. The model is as large as its bounds allow."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.base, model.terms))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.langs, own.base, own.terms = sent.value
-        own.score = lru_cache(maxsize=1 << 16)(own.score_of)
+        own = sent.value
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
