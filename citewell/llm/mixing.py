@@ -130,10 +130,13 @@ def cuts(mixed: DataFrame) -> DataFrame:
     """source, epochs, cut_key, cut_before, cut: rows whose key is under cut_key
     are in the partial epoch as a whole; the cut falls among those that have it."""
     reaches = F.col("before") + F.col("size") > F.col("cut")
-    found = F.min(F.when(reaches, F.struct("key", "before")))
-    return mixed.groupBy(F.col("source").alias("_source"), "epochs", "cut").agg(found.alias("_at")).select(
-        "_source", "epochs", "cut", F.col("_at.key").alias("cut_key"), F.col("_at.before").alias("cut_before")
-    )
+    found = mixed.groupBy(F.col("source").alias("_source"), "epochs", "cut").agg(F.min(F.when(reaches, F.col("key"))).alias("cut_key"))
+    found = durable(found, "mix-cut-keys")
+    # Rows that share the key stand together; the first of them tells what is before all.
+    keys = found.select(F.col("_source").alias("_s"), "cut_key")
+    at = mixed.join(keys, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("cut_key")))
+    at = at.groupBy(F.col("source").alias("_at")).agg(F.min("before").alias("cut_before"))
+    return found.join(at, F.col("_source").eqNullSafe(F.col("_at")), "left").drop("_at")
 
 
 def first_words(text: Column, n: Column) -> Column:
