@@ -123,7 +123,7 @@ def _stars(hot: DataFrame) -> DataFrame:
     one, two = _deleted(1), _deleted(2)
     longs = lambda xs: F.array(*(F.lit(_signed(x)).cast("bigint") for x in xs))
     pick = lambda m: F.when(seg == 0, longs(m[0])).otherwise(longs(m[1]))
-    own = F.when(wild < SEGMENT, F.shiftleft(F.lit(1).cast("bigint"), wild + seg * SEGMENT)).otherwise(F.lit(0).cast("bigint"))
+    own = F.when(wild < SEGMENT, F.call_function("shiftleft", F.lit(1).cast("bigint"), wild + seg * SEGMENT)).otherwise(F.lit(0).cast("bigint"))
     masks = F.when(wild < SEGMENT, pick(one)).otherwise(pick(two))
     keyed = hot.select("fp", own.alias("own"), F.explode(masks).alias("mask")).select(
         "fp", F.col("own").bitwiseOR(F.col("mask")).alias("mask")
