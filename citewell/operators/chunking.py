@@ -125,28 +125,38 @@ def split_table(text: Column, max_chars: Column, max_tokens: Column | None, char
 
 
 def greedy_group(pieces: Column, target: Column, most: Column, joiner: str, chars: int = 4) -> Column:
-    """Runs that end before passing ``most`` tokens or on reaching ``target``."""
-    zero = F.struct(_empty().alias("runs"), _empty().alias("now"), F.lit(0).alias("tokens"))
-
-    def state(runs: Column, now: Column, tokens: Column) -> Column:
-        return F.struct(runs.cast(PARTS).alias("runs"), now.cast(PARTS).alias("now"), tokens.cast("int").alias("tokens"))
-
-    def flushed(acc: Column) -> Column:
-        return F.concat(acc["runs"], F.array(F.array_join(acc["now"], joiner)))
-
-    def step(acc: Column, piece: Column) -> Column:
-        n = count_tokens(piece, chars)
-        over = (F.size(acc["now"]) > 0) & (acc["tokens"] + n > most)
-        base = F.when(over, state(flushed(acc), _empty(), F.lit(0))).otherwise(acc)
+    """Runs that end before passing ``most`` tokens or on reaching ``target``.
+
+    The fold goes over token counts and keeps only where runs are cut; the texts are
+    joined afterwards, run by run. Empty pieces are not expected.
+    """
+    cuts_of = "struct<cuts:array<int>,tokens:int>"
+    zero = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("tokens"))
+
+    def cut(sizes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            n = F.get(sizes, i)
+            over = (acc["tokens"] > 0) & (acc["tokens"] + n > most)
+            base = F.when(over, n).otherwise(acc["tokens"] + n)
+            full = base >= target
+            cuts = (
+                F.when(over & full, F.concat(acc["cuts"], F.array(i, i + 1)))
+                .when(over, F.concat(acc["cuts"], F.array(i)))
+                .when(full, F.concat(acc["cuts"], F.array(i + 1)))
+                .otherwise(acc["cuts"])
+            )
+            return F.struct(cuts.alias("cuts"), F.when(full, 0).otherwise(base).alias("tokens")).cast(cuts_of)
 
-        def add(b: Column) -> Column:
-            grown = state(b["runs"], F.concat(b["now"], F.array(piece)), b["tokens"] + n)
-            return let(grown, lambda g: F.when(g["tokens"] >= target, state(flushed(g), _empty(), F.lit(0))).otherwise(g))
+        n = F.size(sizes)
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: F.array_distinct(F.concat(acc["cuts"], F.array(n))))
 
-        return let(base, add)
+    def joined(p: Column) -> Column:
+        run = lambda c: F.transform(
+            F.slice(c, 2, F.size(c)), lambda end, k: F.array_join(F.slice(p, F.get(c, k) + 1, end - F.get(c, k)), joiner)
+        )
+        return F.when(F.size(p) > 0, let(let(F.transform(p, lambda x: count_tokens(x, chars)), cut), run)).otherwise(_empty())
 
-    end = lambda acc: F.when(F.size(acc["now"]) > 0, flushed(acc)).otherwise(acc["runs"])
-    return F.aggregate(pieces, zero, step, end)
+    return let(pieces, joined)
 
 
 def split_prose(text: Column, target: Column, most: Column, chars: int = 4) -> Column:

@@ -38,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table under this many bytes may be one row group, which one task would read alone.
+SMALL = 64 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for queries that compute much per row."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows if size > SMALL else rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # SQL building blocks ---------------------------------------------------------------
 
 BLANK = (
@@ -112,7 +122,7 @@ def normalize_lines_docs(spark, d):
 
 @query(f"WITH s AS (SELECT doc_id, {sql_sentences('text')} AS s FROM documents) SELECT doc_id, len(s)::INT AS n, array_to_string(s, '|') AS joined FROM s")
 def sentences_docs(spark, d):
-    s = table(spark, d, "documents").select("doc_id", text.split_sentences("text").alias("s"))
+    s = dealt(table(spark, d, "documents")).select("doc_id", text.split_sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.array_join("s", "|").alias("joined"))
 
 
@@ -121,7 +131,7 @@ def sentences_docs(spark, d):
     "SELECT doc_id, len(s)::INT AS n, CASE WHEN len(s) <= 2 THEN text ELSE array_to_string(s[1:2], ' ') END AS cut FROM s"
 )
 def truncate_docs(spark, d):
-    t = table(spark, d, "documents").select("doc_id", text.truncate_sentences("text", 2).alias("t"))
+    t = dealt(table(spark, d, "documents")).select("doc_id", text.truncate_sentences("text", 2).alias("t"))
     return t.select("doc_id", F.col("t.sentences").alias("n"), F.col("t.text").alias("cut"))
 
 
@@ -273,7 +283,7 @@ def guard_golden(spark, d):
 @query()
 def guard_documents(spark, d):
     """Every document as a question: a scan of all rules."""
-    rows = table(spark, d, "documents").select("doc_id", guard.classify("text").alias("g"))
+    rows = dealt(table(spark, d, "documents")).select("doc_id", guard.classify("text").alias("g"))
     return rows.select("doc_id", "g.action", "g.matched_pattern", F.sha2("g.redacted_query", 256).alias("redacted"))
 
 
@@ -282,7 +292,7 @@ def guard_documents(spark, d):
 )
 def pii_emails(spark, d):
     hits = F.filter(guard.pii_matches("text"), lambda m: m["kind"] == "EMAIL")
-    return table(spark, d, "documents").select("doc_id", F.size(hits).alias("n_email"))
+    return dealt(table(spark, d, "documents")).select("doc_id", F.size(hits).alias("n_email"))
 
 
 ALIASES = (
@@ -314,7 +324,7 @@ def alias_resolution(spark, d):
 
 def documents_as_pages(spark, d) -> DataFrame:
     """Each document as a page of one section; the source stands for the scheme."""
-    docs = table(spark, d, "documents")
+    docs = dealt(table(spark, d, "documents"))
     section = F.struct(
         F.concat(F.lit("Section "), F.pmod("doc_id", F.lit(7)).cast("string")).alias("section_title"),
         F.lit(2).alias("heading_level"),
@@ -423,7 +433,7 @@ def chunk_small_merge(spark, d):
             F.lit(False).alias("is_table"), i.alias("order"),
         ),
     )
-    docs = table(spark, d, "documents").select("doc_id", lines.alias("sections"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", lines.alias("sections"))
     merged = docs.select("doc_id", F.posexplode(chunking.merge_small_sections(F.col("sections"))).alias("at", "s"))
     return merged.select("doc_id", "at", "s.section_title", "s.order", F.sha2("s.text", 256).alias("text_sha256"))
 
@@ -431,7 +441,7 @@ def chunk_small_merge(spark, d):
 @query()
 def chunk_pack(spark, d):
     """Lines packed as a table would be."""
-    docs = table(spark, d, "documents").select("doc_id", chunking.split_table(F.col("text"), F.lit(1800), F.lit(200)).alias("p"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", chunking.split_table(F.col("text"), F.lit(1800), F.lit(200)).alias("p"))
     return docs.select("doc_id", F.posexplode("p").alias("at", "part")).select("doc_id", "at", F.sha2("part", 256).alias("part_sha256"))
 
 
