@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.functions.text import content_tokens
 
@@ -40,6 +41,8 @@ def dense(hashes: Iterator, dimensions: int) -> np.ndarray:
 def hashing(text: str | Column, dimensions: int = Settings.dimensions) -> Column:
     """Tokens are found and hashed in the JVM; only hashes go to Python."""
 
+    ship()
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -49,6 +52,8 @@ def hashing(text: str | Column, dimensions: int = Settings.dimensions) -> Column
 
 
 def with_model(text: str | Column, load: Loader, dimensions: int) -> Column:
+    ship()
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.functions.text import content_tokens, split_sentences
 
@@ -92,6 +93,7 @@ def generate(answers: DataFrame, s: Settings = Settings(), client: ClientLoader
             "query_id", F.coalesce("raw", F.lit("")).alias("raw"), F.lit(EXTRACTIVE).alias("generation_mode"),
             null_int.alias("prompt_chars"), null_long.alias("llm_latency_ms"),
         )
+    ship()
     attempts = s.llm_attempts
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.errors import CorpusEmptyError
 from citewell.functions.text import let, normalize_url, strip_context_header
@@ -68,6 +69,7 @@ def nearest(
     ``filter_by`` names a column of both sides; a question with a value there sees
     only rows with that value. ``least`` drops similarities under it.
     """
+    ship()
     columns = [question, question_vector, *([filter_by] if filter_by else [])]
     asked = questions.select(*columns).where(F.col(question_vector).isNotNull())
     keys, kind = corpus.schema[key].dataType.simpleString(), questions.schema[question].dataType.simpleString()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.operators.sections import is_table_block
 
@@ -214,6 +215,7 @@ RAW = "array<struct<section_title:string,heading_level:int,text:string,in_table:
 def extract_pages(pages: DataFrame, html: str = "html", s: Settings = Settings()) -> DataFrame:
     """``pages`` without their html, with extraction_mode, error and sections. A page
     with too little content has an error and no sections; it fails alone."""
+    ship()
     kept = [c for c in pages.columns if c not in (html, "extraction_mode", "error", "sections")]
     struct = pa.struct(
         [("section_title", pa.string()), ("heading_level", pa.int32()), ("text", pa.string()), ("in_table", pa.bool_())]
@@ -255,4 +257,5 @@ class Sectionize:
 
 
 def register(spark: SparkSession) -> None:
+    ship()
     spark.udtf.register("sectionize", Sectionize)

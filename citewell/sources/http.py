@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.errors import FetchError
 from citewell.schemas import PAGE
@@ -93,6 +94,7 @@ class HttpSource(DataSource):
 
 def read_pages(spark: SparkSession, sources: DataFrame, partitions: int = 1, **options) -> DataFrame:
     """scheme_id, url, final_url, html, status, error for each row of the manifest."""
+    ship()
     spark.dataSource.register(HttpSource)
     urls = "\n".join(r[0] for r in sources.selectExpr("to_json(struct(scheme_id, url))").collect())
     reader = spark.read.format(NAME).option("urls", urls).option("partitions", str(partitions))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from citewell import ship
 from citewell.config import Settings
 from citewell.functions import guard
 
@@ -47,6 +48,7 @@ def with_history(questions: DataFrame, n: int = Settings.max_history_turns, idle
         state.update((seq, history))
         state.setTimeoutDuration(idle_ms)
 
+    ship()
     grouped = guarded_stream(questions).groupBy("session_id")
     return grouped.applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
