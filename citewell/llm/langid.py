@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.llm.common import documents
 
 UNKNOWN = "und"
@@ -84,6 +85,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 ["lang", "kind", "term", "n"],
             )
 
+    ship()
     counted = rows.mapInArrow(run, "lang string, kind int, term string, n bigint")
     return counted.groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
 
@@ -162,6 +164,7 @@ def fit(labelled: DataFrame, most_rows: int = MAX_ROWS, most_terms: int = MAX_TE
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score. The model is as large as its bounds allow."""
+    ship()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

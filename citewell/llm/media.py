@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from citewell import ship
 from citewell.llm.common import documents
 
 UNKNOWN = "application/octet-stream"
@@ -202,6 +203,7 @@ def inspect(rows: DataFrame, content: str = "content", declared: str = "declared
                 [key, declared, "detected", "corrected", "embedded"],
             )
 
+    ship()
     schema = (
         f"{key} {rows.schema[key].dataType.simpleString()}, {declared} string, detected string, corrected boolean, "
         "embedded array<struct<type:string,start:bigint,end:bigint,content:binary>>"
@@ -256,6 +258,7 @@ def digest(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
+    ship()
     kinds = ["bigint" if t == pa.int64() else "string" for t in types]
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)

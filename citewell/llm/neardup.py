@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.llm.common import discard, documents, durable
 
 SHINGLE = 3
@@ -67,6 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([simhash(t or "") for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    ship()
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.llm.common import documents
 
 MODEL = "piece_bpe_32k.model"
@@ -183,6 +184,7 @@ def encoded(texts: list[str], path: str, ends: bool) -> Iterator[tuple[str, np.n
 
 def encode(docs: DataFrame, path: str | None = None, ends: bool = True) -> DataFrame:
     """doc_id, ids, begins and ends (original UTF-8 byte offsets), decoded."""
+    ship()
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +203,7 @@ def encode(docs: DataFrame, path: str | None = None, ends: bool = True) -> DataF
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 (begins, then
     ends, as little-endian unsigned 32-bit integers), without moving the ids."""
+    ship()
     path = path or default_model()
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
