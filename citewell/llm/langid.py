@@ -150,6 +150,7 @@ class Model:
 def fit(labelled: DataFrame, most_rows: int = MAX_ROWS, most_terms: int = MAX_TERMS) -> Model:
     """From rows with doc_id, lang and text. What comes to the driver is at most
     ``most_terms`` terms in at most as many rows a language, and their totals."""
+    labelled = labelled.select("doc_id", "lang", "text")
     rows = sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), most_rows)
     counts = term_counts(rows).persist()
     totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}

@@ -150,24 +150,24 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
     Texts are not shuffled: a row's place follows from its key and its source's cut.
     """
-    columns = docs.columns
     per = durable(cuts(mix(durable(sizes(docs), "mix-sizes"), **how)), "mix-cuts")
-    keyed = docs.withColumn("_key", key_of(F.col("doc_id"), F.col("text")))
-    keyed = keyed.join(per, F.col("source").eqNullSafe(F.col("_source")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # away from the names used here
+    keyed = docs.select(row, F.col("source").alias("_from"), F.col("text").alias("_text"), key_of(F.col("doc_id"), F.col("text")).alias("_key"))
+    keyed = keyed.join(per, F.col("_from").eqNullSafe(F.col("_source")))
     times = F.col("epochs").cast("int") + F.when(F.col("_key") < F.col("cut_key"), 1).otherwise(0)
-    rows = keyed.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+    rows = keyed.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
     # Rows that share the cut's key are equal; the cut falls in one of them.
     at = keyed.where(F.col("_key") == F.col("cut_key"))
-    nth = F.row_number().over(W.partitionBy("source", "_key").orderBy(F.lit(1))) - 1
-    size = F.regexp_count(whole("text"), F.lit(WORD))
+    nth = F.row_number().over(W.partitionBy("_from", "_key").orderBy(F.lit(1))) - 1
+    size = F.regexp_count(whole("_text"), F.lit(WORD))
     last = F.least(size.cast("bigint"), F.col("cut") - F.col("cut_before") - nth * size)
     at = at.withColumn("_last", last).where(F.col("_last") > 0)
-    text = F.when(F.col("_last") >= size, F.col("text")).otherwise(first_words(F.col("text"), F.col("_last")))
-    at = at.withColumn("_text", text)
-    given = {"text": F.col("_text")} | (
-        {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {}
-    )
-    return rows.unionByName(at.select(*(given.get(c, F.col(c)).alias(c) for c in columns)))
+    text = F.when(F.col("_last") >= size, F.col("_text")).otherwise(first_words(F.col("_text"), F.col("_last")))
+    at = at.withColumn("_cut", text)
+    given = {"text": F.col("_cut")}
+    if "n_chars" in docs.columns:
+        given["n_chars"] = F.length("_cut").cast(docs.schema["n_chars"].dataType)
+    return rows.unionByName(at.select(*(given.get(c, F.col("_row")[c]).alias(c) for c in docs.columns)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

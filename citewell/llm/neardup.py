@@ -207,10 +207,10 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each component: the row with its smallest doc_id, one of
     them where rows share that id. Columns as in the input."""
-    columns = docs.columns
     ids = near_duplicates(docs).select(F.col("component_id").alias("_id")).distinct()
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # away from the names used here
+    rows = docs.select(row, F.col("doc_id").alias("_doc")).join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["_doc"]).select("_row.*")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,20 +166,21 @@ def redact_documents(docs: DataFrame, owner: str = "source") -> DataFrame:
     the hash of the text, in which equal rows have equal spans.
     """
     columns = docs.columns
-    key = [F.col("doc_id").alias("_id"), F.xxhash64(whole("text")).alias("_hash"), F.length(whole("text")).alias("_n")]
-    withid = docs.select(F.struct("doc_id", *key[1:]).alias("doc_id"), F.col(owner).alias("owner"), "text")
+    same = ("doc_id", F.xxhash64(whole("text")).alias("_hash"), F.length(whole("text")).alias("_n"))
+    withid = docs.select(F.struct(*same).alias("doc_id"), F.col(owner).alias("owner"), "text")
     live = (
         durable(secrets(withid, "owner").where(F.size("live") > 0), "secrets-live")
         .groupBy("doc_id")
         .agg(F.max("live").alias("_live"))
         .select(F.col("doc_id").alias("_key"), "_live")
     )
-    rows = docs.withColumn("_doc", F.struct("doc_id", *key[1:]))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")  # away from the names used here
+    rows = docs.select(row, F.col("text").alias("_text"), F.struct(*same).alias("_doc"))
     rows = rows.join(live, F.col("_doc") == F.col("_key"), "left")
-    text = F.when(F.col("_live").isNotNull(), redacted(F.col("text"), F.col("_live"))).otherwise(F.col("text"))
-    rows = rows.withColumn("_text", text)
-    given = {"text": F.col("_text")}
+    hit = F.col("_live").isNotNull()
+    rows = rows.withColumn("_new", F.when(hit, redacted(F.col("_text"), F.col("_live"))).otherwise(F.col("_text")))
+    given = {"text": F.col("_new")}
     if "n_chars" in columns:
-        n = F.when(F.col("_live").isNotNull(), F.length("_text")).otherwise(F.col("n_chars"))
+        n = F.when(hit, F.length("_new")).otherwise(F.col("_row")["n_chars"])
         given["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
-    return rows.select(*(given.get(c, F.col(c)).alias(c) for c in columns))
+    return rows.select(*(given.get(c, F.col("_row")[c]).alias(c) for c in columns))

@@ -41,8 +41,15 @@ def test_empty_table(docs, spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_names(odd, spark):
+    names = ("row_id", "epochs", "cut", "cut_key", "key", "size", "fp", "component_id", "_row", "_id", "_key", "_live", "n_words", "a.b")
+    df = odd.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns, name
+        assert out.where("size <> 5 OR `a.b` <> 13 OR _row <> 8").isEmpty(), name
+
+
 def test_odd_rows(odd, spark):
-    df = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, odd, "")
-        assert df.columns == odd.columns, name
+        assert stage(spark, odd, "").columns == odd.columns, name
