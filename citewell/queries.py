@@ -326,7 +326,7 @@ def documents_as_pages(spark, d) -> DataFrame:
     """Each document as a page of one section; the source stands for the scheme."""
     docs = dealt(table(spark, d, "documents"))
     section = F.struct(
-        F.concat(F.lit("Section "), F.pmod("doc_id", F.lit(7)).cast("string")).alias("section_title"),
+        F.concat(F.lit("Section "), "lang").alias("section_title"),
         F.lit(2).alias("heading_level"),
         F.coalesce("text", F.lit("")).alias("text"),
         sections.is_table_block(F.coalesce("text", F.lit(""))).alias("is_table"),
@@ -469,7 +469,7 @@ def chunk_dedupe(spark, d):
 
 _CHUNK_SQL = f"""
 c AS (SELECT doc_id, source, lang, {sql_lines('text')} AS body FROM documents),
-e AS (SELECT *, '[Scheme: ' || source || ' | Category: ' || lang || ' | Plan: Direct | Section: Section ' || doc_id % 7 || ']' || chr(10) || body AS embed_text,
+e AS (SELECT *, '[Scheme: ' || source || ' | Category: ' || lang || ' | Plan: Direct | Section: Section ' || lang || ']' || chr(10) || body AS embed_text,
         sha256('https://pages.example/' || doc_id || '|0|0|' || body)[:16] AS chunk_id FROM c)
 """
 
@@ -643,17 +643,20 @@ def corpus_fingerprint(spark, d):
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Documents stored before, and a batch with some gone, some new, some changed."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_sha256"))
-    third = F.col("chunk_id") % 3
-    changed = F.when(F.col("chunk_id") % 5 == 0, F.sha2(F.col("content_sha256"), 256)).otherwise(F.col("content_sha256"))
-    batch = docs.where(third != 0).withColumn("content_sha256", changed)
-    twice = batch.where(F.col("chunk_id") % 7 == 0).withColumn("content_sha256", F.lit("later"))
-    return docs.where(third != 1), batch.withColumn("at", F.lit(0)).unionByName(twice.withColumn("at", F.lit(1)))
+    """Documents stored before, and a batch: one language is gone from it, one is
+    new, a source's texts have changed, and the rows of another come twice."""
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_sha256"), "lang", "source"
+    )
+    changed = F.when(F.col("source") == "src1", F.sha2(F.col("content_sha256"), 256)).otherwise(F.col("content_sha256"))
+    batch = docs.where("lang <> 'de'").withColumn("content_sha256", changed)
+    twice = batch.where("source = 'src2'").withColumn("content_sha256", F.lit("later"))
+    both = batch.withColumn("at", F.lit(0)).unionByName(twice.withColumn("at", F.lit(1)))
+    return docs.where("lang <> 'fr'").drop("lang", "source"), both.drop("lang", "source")
 
 
-_OLD = "old AS (SELECT doc_id AS chunk_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 1)"
-_NEW = "new AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN sha256(sha256(text)) ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 <> 0)"
+_OLD = "old AS (SELECT doc_id AS chunk_id, sha256(text) AS h FROM documents WHERE lang <> 'fr')"
+_NEW = "new AS (SELECT doc_id AS chunk_id, CASE WHEN source = 'src1' THEN sha256(sha256(text)) ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de')"
 
 
 @query(f"WITH {_OLD}, {_NEW} SELECT chunk_id, h AS content_sha256 FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new)")
@@ -683,14 +686,14 @@ def encode_skips_unchanged(spark, d):
     return store.unchanged(old, store.first_by_id(new, "at")).select("chunk_id")
 
 
-@query("SELECT page_id % 2 = 0 AS cached, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1")
+@query("SELECT starts_with(url, 'https:') AS cached, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1")
 def ingest_cache_join(spark, d):
     pages = table(spark, d, "pages")
     manifest = pages.select(
         F.col("page_id").cast("string").alias("scheme_id"), F.lit("name").alias("scheme_name"), F.lit("c").alias("category"), F.lit("p").alias("plan"), "url"
     )
     empty = F.array().cast("array<struct<section_title:string,heading_level:int,text:string,is_table:boolean,order:int>>")
-    cached = pages.where("page_id % 2 = 0").select(
+    cached = pages.where("url LIKE 'https:%'").select(
         F.col("page_id").cast("string").alias("scheme_id"), *(F.lit("old").alias(c) for c in ("scheme_name", "category", "plan")),
         F.col("url").alias("source_url"), F.lit("2026-01-31").alias("fetched_at"), F.lit("h").alias("content_sha256"),
         F.lit("m").alias("extraction_mode"), empty.alias("sections"),
@@ -704,10 +707,10 @@ def ingest_cache_join(spark, d):
 # Citations --------------------------------------------------------------------------------
 
 
-@query(f"WITH k AS (SELECT DISTINCT {sql_url('url')} AS u FROM pages WHERE page_id % 4 = 0) SELECT page_id FROM pages WHERE {sql_url('url')} IN (SELECT u FROM k)")
+@query(f"WITH k AS (SELECT DISTINCT {sql_url('url')} AS u FROM pages WHERE contains(url, 'example.com')) SELECT page_id FROM pages WHERE {sql_url('url')} IN (SELECT u FROM k)")
 def citation_whitelist(spark, d):
-    pages = table(spark, d, "pages").select("page_id", text.normalize_url("url").alias("u"))
-    allowed = pages.where("page_id % 4 = 0").select("u")
+    pages = table(spark, d, "pages").select("page_id", "url", text.normalize_url("url").alias("u"))
+    allowed = pages.where(F.contains("url", F.lit("example.com"))).select("u")
     return pages.join(allowed, "u", "left_semi").select("page_id")
 
 
@@ -718,54 +721,54 @@ def citation_lookup(spark, d):
 
 
 @query(
-    "SELECT p.page_id, coalesce(m.name, '') AS scheme_name FROM pages p LEFT JOIN (SELECT url, min('page ' || page_id) AS name FROM pages WHERE page_id % 3 = 0 GROUP BY url) m ON m.url = p.url"
+    "SELECT p.page_id, coalesce(m.name, '') AS scheme_name FROM pages p LEFT JOIN (SELECT url, min('page ' || page_id) AS name FROM pages WHERE contains(url, 'example.org') GROUP BY url) m ON m.url = p.url"
 )
 def scheme_of_url(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
-    manifest = pages.where("page_id % 3 = 0").select("url", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("scheme_name"))
+    manifest = pages.where(F.contains("url", F.lit("example.org"))).select("url", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("scheme_name"))
     return answers.scheme_of_url(pages, manifest).select("page_id", "scheme_name")
 
 
 # Answers -----------------------------------------------------------------------------------
 
 _PLAIN = "regexp_replace(text, '[.!?…]', '', 'g')"
+_FIRST = "f AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations GROUP BY conv_id)"
 
 
 @query(
     f"""
-WITH q AS (SELECT item_id AS query_id, {sql_tokens('text')} AS asked FROM benchmark),
-c AS (SELECT item_id AS query_id, d.doc_id, d.source, {_PLAIN.replace('text', 'd.text')} AS t FROM benchmark JOIN documents d ON d.doc_id % 40 = item_id % 40 AND d.doc_id < 400),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS chunk_at FROM c),
-l AS (SELECT query_id, chunk_at, doc_id, source, unnest(string_split(t, {NEWLINE})) AS raw, generate_subscripts(string_split(t, {NEWLINE}), 1) AS pos FROM k),
-s AS (SELECT query_id, chunk_at, doc_id, source, pos, trim(raw) AS x FROM l),
+WITH {_FIRST}, q AS (SELECT conv_id AS query_id, {sql_tokens('query')} AS asked FROM f),
+k AS (SELECT conv_id AS query_id, turn, role, {_PLAIN} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_at FROM conversations),
+l AS (SELECT query_id, chunk_at, turn, role, unnest(string_split(t, {NEWLINE})) AS raw, generate_subscripts(string_split(t, {NEWLINE}), 1) AS pos FROM k),
+s AS (SELECT query_id, chunk_at, turn, role, pos, trim(raw) AS x FROM l),
 o AS (SELECT s.*, len(list_intersect(asked, {sql_tokens('x')})) AS overlap, len({sql_tokens('x')}) AS n FROM s JOIN q USING (query_id) WHERE x <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, length(x), chunk_at, pos) AS nth FROM o WHERE n > 0)
-SELECT query_id, arg_min(source, chunk_at * 1000000 + pos) || ': ' || string_agg(x, ' ' ORDER BY chunk_at, pos)
-  || ' Source: https://pages.example/' || arg_min(doc_id, chunk_at * 1000000 + pos) AS raw
+SELECT query_id, arg_min(role, chunk_at * 1000000 + pos) || ': ' || string_agg(x, ' ' ORDER BY chunk_at, pos)
+  || ' Source: https://turns.example/' || arg_min(turn, chunk_at * 1000000 + pos) AS raw
 FROM r WHERE nth <= 2 GROUP BY query_id
 """
 )
 def extractive_answer(spark, d):
-    """Benchmark items as questions to the documents of their residue class, whose
-    sentences are their lines."""
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("item_id").alias("i"))
-    docs = table(spark, d, "documents").where("doc_id < 400").withColumn("r", F.col("doc_id") % 40)
+    """The first turn of a conversation as the question, its turns as the chunks,
+    whose sentences are their lines."""
+    turns = table(spark, d, "conversations")
     chunk = F.struct(
-        "doc_id", F.regexp_replace("text", "[.!?…]", "").alias("text"), F.col("source").alias("section"),
-        F.concat(F.lit("https://pages.example/"), F.col("doc_id").cast("string")).alias("source_url"),
+        "turn", F.regexp_replace("text", "[.!?…]", "").alias("text"), F.col("role").alias("section"),
+        F.concat(F.lit("https://turns.example/"), F.col("turn").cast("string")).alias("source_url"),
     )
-    by = docs.groupBy("r").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
-    return generate.extractive(asked.join(by, F.col("i") % 40 == F.col("r")))
+    asked = turns.groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.min_by("text", "turn").alias("query"), F.sort_array(F.collect_list(chunk)).alias("chunks")
+    )
+    return generate.extractive(asked)
 
 
 @query(
-    f"SELECT b.item_id, d.doc_id, len(list_intersect({sql_tokens('b.text')}, {sql_tokens('d.text')}))::INT AS overlap "
-    "FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40"
+    f"WITH {_FIRST} SELECT conv_id, turn, len(list_intersect({sql_tokens('query')}, {sql_tokens('text')}))::INT AS overlap FROM conversations JOIN f USING (conv_id)"
 )
 def token_overlap(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") % 40).alias("r"))
-    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("r"))
-    return b.join(docs, "r").select("item_id", "doc_id", generate.overlap(F.col("q"), F.col("text")).alias("overlap"))
+    turns = table(spark, d, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    return turns.join(first, "conv_id").select("conv_id", "turn", generate.overlap(F.col("query"), F.col("text")).alias("overlap"))
 
 
 @query(
