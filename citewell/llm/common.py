@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster its absence is an error, since local folders are not shared there.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
     if not (sc.master == "local" or sc.master.startswith("local[")):
@@ -32,22 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that this process has written and not removed.
+_made: set[str] = set()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and
-    the rows survive lost executors. The folder's owner cleans it up."""
+    the rows survive lost executors. ``clean`` removes what is left when the results
+    that read it have been stored."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by ``durable`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, folders = spark.sparkContext._jvm, {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that this process has written with ``durable``."""
+    while _made:
+        _remove(spark, _made.pop())
 
 
 def whole(text: str | Column) -> Column:

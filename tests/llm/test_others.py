@@ -200,3 +200,18 @@ def test_snapshots_against_loop(spark, seed):
     inside = {k[:n] for k in whole for n in range(1, len(k))}
     want = {min(cs): (len(k), len(cs)) for k, cs in whole.items() if k not in inside}
     assert {r.conv_id: (r.n_turns, r.n_equal) for r in chat.format_conversations(df).collect()} == want
+
+
+# Durable tables ---------------------------------------------------------------------------
+
+
+def test_durable_tables_are_removed(spark, docs):
+    import os
+
+    from citewell.llm import common
+
+    kept = common.durable(docs([(1, "a")]), "kept")
+    (folder,) = {f.rpartition("/")[0].removeprefix("file://") for f in kept.inputFiles()}
+    assert os.path.isdir(folder) and kept.count() == 1
+    common.clean(spark)
+    assert not os.path.exists(folder)
