@@ -23,6 +23,8 @@ class Settings:
     max_table_chars: int = 1800
     embed_limit: int = 256
     chars_per_token: int = 4
+    #: Name of a tokenizer that counts tokens; None: they are estimated.
+    tokenizer: str | None = None
     # Encoder
     dimensions: int = 384
     # Fetching
@@ -44,6 +46,11 @@ class Settings:
     llm_attempts: int = 2
     mode: str = "demo"
 
+    @property
+    def tokens_are_exact(self) -> bool:
+        """Whether a tokenizer counts, or an estimate."""
+        return self.tokenizer is not None
+
     @property
     def llm_enabled(self) -> bool:
         return self.llm_model is not None and self.mode != "eval"

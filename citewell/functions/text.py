@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citewell import ship
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often body names it."""
@@ -200,6 +203,19 @@ def count_tokens(s: str | Column, chars: int = 4) -> Column:
     return F.ceil(F.length(F.coalesce(str_(s), F.lit(""))) / F.lit(chars)).cast("int")
 
 
+def count_tokens_with(s: str | Column, load: Callable[[], Callable[[list[str]], list[int]]]) -> Column:
+    """Tokens as a tokenizer counts them; ``load`` makes it once in each worker."""
+    ship()
+
+    @F.pandas_udf("int")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = load()
+        for batch in batches:
+            yield pd.Series(count(batch.fillna("").tolist()), dtype="int32")
+
+    return counts(str_(s))
+
+
 def exceeds_limit(s: str | Column, limit: int = 256) -> Column:
     return count_tokens(s) > limit
 

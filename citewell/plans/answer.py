@@ -172,6 +172,16 @@ def answer(
     )
 
 
+def warm_up(corpus: DataFrame, load: Loader | None = None, dimensions: int = Settings.dimensions) -> DataFrame:
+    """The corpus held in memory where it fits, and an encoder loaded: for sessions
+    that answer many batches. The caller unpersists it."""
+    held = corpus.persist()
+    one = held.sparkSession.createDataFrame([("warm",)], "text string")
+    encode(one, "text", "embedding", load, dimensions).count()
+    held.count()
+    return held
+
+
 def failed(questions: DataFrame, e: BaseException) -> DataFrame:
     """An answer for each question of a batch that could not be planned: what kind
     of error and where, but not its message."""

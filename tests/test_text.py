@@ -138,3 +138,12 @@ def test_small_helpers(value):
     assert value(text.strip_context_header(L("[Scheme: a]\nbody"))) == "body"
     assert value(text.amounts_match(L(1000.5), L(1000.0)))
     assert value(text.without_freshness(L("A b. Last updated from sources: 2026-01-31"))) == "A b."
+
+
+def test_tokens_counted_by_a_tokenizer(spark):
+    from citewell.config import Settings
+
+    df = spark.createDataFrame([("a b c",), (None,)], "t string")
+    counted = df.select(text.count_tokens_with("t", lambda: lambda texts: [len(x.split()) for x in texts]).alias("n"))
+    assert [r.n for r in counted.collect()] == [3, 0]
+    assert not Settings().tokens_are_exact and Settings(tokenizer="x").tokens_are_exact
