@@ -30,8 +30,12 @@ def guarded_stream(questions: DataFrame) -> DataFrame:
     return rows.select("session_id", F.col("g.action").alias("action"), F.col("g.redacted_query").alias("redacted_query"))
 
 
-def with_history(questions: DataFrame, n: int = Settings.max_history_turns, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Each question with its number in the session and the turns before it."""
+def with_history(questions: DataFrame, n: int = Settings.max_history_turns, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Each question with its number in the session and the turns before it.
+
+    None keeps sessions for ever; triggers that run until the input is used up need
+    it, since timeouts make Spark plan batches without end.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,11 +50,13 @@ def with_history(questions: DataFrame, n: int = Settings.max_history_turns, idle
                 seq, history = seq + 1, ([*history, text][-n:] if n else [])
             yield pd.DataFrame(rows, columns=["session_id", "seq", "redacted_query", "action", "history"])
         state.update((seq, history))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
     ship()
     grouped = guarded_stream(questions).groupBy("session_id")
-    return grouped.applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(step, OUT, STATE, "append", timeout)
 
 
 def event_windows(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
