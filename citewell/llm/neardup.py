@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citewell import ship
-from citewell.llm.common import discard, documents, durable
+from citewell.llm.common import discard, documents, durable, whole
 
 SHINGLE = 3
 BITS, SEGMENT = 64, 32
@@ -205,11 +205,23 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with its smallest doc_id, one of
-    them where rows share that id. Columns as in the input."""
-    ids = near_duplicates(docs).select(F.col("component_id").alias("_id")).distinct()
+    """One document of each component: the row with its smallest doc_id (null only
+    if all are null), of rows that share it the one with the smallest text hash.
+    Columns as in the input.
+
+    Rows are told apart by doc_id and text: components whose smallest doc_ids are
+    equal or null keep a row each. Rows with equal texts are always one component.
+    """
+    key = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64(whole("text")).alias("hash"),
+        F.length(whole("text")).alias("n"),
+    )
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    ids = found.select(F.col("component_id").alias("_id")).distinct()
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # away from the names used here
-    rows = docs.select(row, F.col("doc_id").alias("_doc")).join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(row, key.alias("_doc")).join(ids, F.col("_doc") == F.col("_id"), "left_semi")
     return rows.dropDuplicates(["_doc"]).select("_row.*")
 
 

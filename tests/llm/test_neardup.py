@@ -87,3 +87,16 @@ def test_a_large_group_of_copies_is_one_class(docs):
     rows = [(k, "the same text for all of these rows") for k in range(3000)] + [(5000, "and one that is not like it at all")]
     got = neardup.near_duplicates(docs(rows))
     assert got.where("component_id = 0").count() == 3000 and got.where("component_id = 5000").count() == 1
+
+
+def test_representatives_with_null_and_repeated_ids(docs, odd):
+    """Rows that share a doc_id, or have none, stay unless they are near duplicates."""
+    text = lambda x: " ".join(f"{x}{k}" for k in range(50))
+    rows = [(None, text(x)) for x in "abcde"] + [(None, text("a")), (3, text("p")), (5, text("p")), (5, text("q"))]
+    rows += [(None, text("r")), (8, text("r")), (9, text("s")), (9, text("s"))]
+    kept = sorted(((r.doc_id or 0, r.text) for r in neardup.keep_representatives(docs(rows)).collect()))
+    assert kept == sorted([(0, text(x)) for x in "abcde"] + [(3, text("p")), (5, text("q")), (8, text("r")), (9, text("s"))])
+    kept = [(r.doc_id, r.text) for r in neardup.keep_representatives(odd).collect()]
+    fps = {plain_simhash(t or "") for t in (r.text for r in odd.collect())}
+    assert len(kept) == len(set(plain_components(sorted(fps)))) == len({plain_simhash(t or "") for _, t in kept})
+    assert (None, "no id") in kept and (1, None) in kept
