@@ -6,6 +6,11 @@ a value that many owners have is a copied example, one that few have and that
 looks random is live. Every value known as a live candidate is then looked for
 among all bare tokens, so a secret pasted without its label is found as well.
 
+Values and tokens are hashed in one form: without punctuation at their ends, as
+words between runs with ``=`` or ``/``. A token also offers each run of its words
+that has as many words as some live value, so a value glued to a name or path is
+found at its place.
+
 Defined results: a null text is empty; a null owner is one owner; repeated rows
 count as one repository but each get their own result; overlapping spans of
 different kinds all stay.
@@ -29,27 +34,80 @@ KINDS = (*PATTERNS, "copy")
 #: A bare token that may be a known value: 12 or more of a value's characters, a digit among them.
 TOKEN = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{12,}+"
 VALUE_CHARS = 12
+#: Around a value or token, not part of it; and between its words, with what trims there.
+FRONT, BACK = r"^[.=/+_-]++", r"(?<![.=/])[.=/]++$"
+BETWEEN = r"(?<!\.)\.*+[=/][.=/+_-]*+"
 #: Owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
 #: Different characters that a live-looking value has at least.
 LIVE_CHARS = 6
 
-CANDIDATE = "array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,live:boolean>>"
+CANDIDATE = "array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,words:int,live:boolean>>"
+PIECE = "struct<start:bigint,end:bigint,low:bigint,high:bigint,hash:string,after:string,digit:boolean,letter:boolean>"
 
 
 def _candidate(spans: Column, rank: int, value) -> Column:
     def one(s: Column) -> Column:
         v = value(s["value"])
-        return F.struct(
-            s["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(KINDS[rank]).alias("kind"),
-            s["end"].alias("end"),
-            F.sha2(v, 256).alias("hash"),
-            live_looking(v).alias("live"),
+
+        def of(parts: Column) -> Column:
+            return F.struct(
+                s["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                F.lit(KINDS[rank]).alias("kind"),
+                s["end"].alias("end"),
+                hashed(parts).alias("hash"),
+                F.size(parts).alias("words"),
+                live_looking(v).alias("live"),
+            )
+
+        return F.transform(F.array(worded(v, F.lit(0))), of)
+
+    return F.flatten(F.transform(spans, one))
+
+
+def worded(value: Column, start: Column) -> Column:
+    """The words of a value that starts at ``start``: their places, hashes and what
+    follows each; from ``low`` to ``high`` with the punctuation around."""
+    zero = F.struct(start.cast("bigint").alias("at"), F.array().cast(f"array<{PIECE}>").alias("out"))
+
+    def of(x: Column) -> Column:
+        texts, gaps = F.split(x["v"], BETWEEN, -1), F.regexp_extract_all(x["v"], F.lit(BETWEEN), F.lit(0))
+
+        def step(acc: Column, w: Column) -> Column:
+            first = F.size(acc["out"]) == 0
+            begin = acc["at"] + F.when(first, x["front"]).otherwise(0)
+            end = begin + F.length(w["text"])
+            high = end + F.when(w["gap"].isNull(), x["back"]).otherwise(F.length(w["gap"]))
+            low = F.when(first, acc["at"]).otherwise(begin - F.length(F.element_at(acc["out"], -1)["after"]))
+            piece = F.struct(
+                begin.alias("start"), end.alias("end"), low.alias("low"), high.alias("high"),
+                F.sha2(w["text"], 256).alias("hash"), F.coalesce(w["gap"], F.lit("")).alias("after"),
+                w["text"].rlike("[0-9]").alias("digit"), w["text"].rlike("[A-Za-z]").alias("letter"),
+            )
+            return F.struct(high.cast("bigint").alias("at"), F.concat(acc["out"], F.array(piece)).cast(f"array<{PIECE}>").alias("out"))
+
+        # One-element arrays bind what is used often to a name.
+        both = F.array(F.struct(texts.alias("texts"), gaps.alias("gaps")))
+        zipped = F.flatten(
+            F.transform(both, lambda b: F.transform(b["texts"], lambda t, i: F.struct(t.alias("text"), F.get(b["gaps"], i).alias("gap"))))
         )
+        return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
-    return F.transform(spans, one)
+    def trimmed(v: Column) -> Column:
+        cut = F.regexp_replace(v, FRONT, "")
+        core = F.regexp_replace(cut, BACK, "")
+        sides = ((F.length(v) - F.length(cut)).alias("front"), (F.length(cut) - F.length(core)).alias("back"))
+        # Of punctuation alone: as it is, so that such values stay apart.
+        return F.when(core == "", F.struct(v.alias("v"), F.lit(0).alias("front"), F.lit(0).alias("back"))).otherwise(F.struct(core.alias("v"), *sides))
+
+    return F.flatten(F.transform(F.transform(F.array(value), trimmed), of))
+
+
+def hashed(parts: Column) -> Column:
+    """The hash of a run of words: of theirs, with what stands between them."""
+    ahead = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(p["hash"], p["after"]))
+    return F.sha2(F.concat(F.array_join(ahead, ""), F.element_at(parts, -1)["hash"]), 256)
 
 
 def live_looking(value: Column) -> Column:
@@ -58,8 +116,8 @@ def live_looking(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", text: str = "text") -> DataFrame:
-    """row_id, doc_id, owner, repo (hash of the text), base and tokens (arrays of
-    candidates), in one pass. Values leave it only as hashes."""
+    """row_id, doc_id, owner, repo (hash of the text), base (an array of candidates)
+    and tokens (an array of arrays of words), in one pass. Values leave it only as hashes."""
     t = F.col("_t")
     stage = docs.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col(owner).alias("owner"), whole(text).alias("_t")
@@ -69,8 +127,6 @@ def scan(docs: DataFrame, owner: str = "source", text: str = "text") -> DataFram
     same = lambda v: v
     group2 = lambda v: F.regexp_extract(v, ASSIGN_VALUE, 1)
     assign = F.filter(places["assign"], lambda s: F.length(group2(s["value"])) >= VALUE_CHARS)
-    # Punctuation around a token is not part of a value that was assigned.
-    bare = lambda v: F.regexp_replace(v, r"^[.=/+_-]+|[.=]+$", "")
     return stage.select(
         "row_id",
         "doc_id",
@@ -81,21 +137,48 @@ def scan(docs: DataFrame, owner: str = "source", text: str = "text") -> DataFram
                 _candidate(assign, 0, group2), _candidate(places["access"], 1, same), _candidate(places["hex"], 2, same)
             )
         ).cast(CANDIDATE).alias("base"),
-        _candidate(places["copy"], 3, bare).cast(CANDIDATE).alias("tokens"),
+        F.transform(places["copy"], lambda s: worded(s["value"], s["start"])).alias("tokens"),
     )
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """hash, n_occurrences, n_repos, n_owners, verdict (example, live or weak)."""
+    """hash, words (their number), n_occurrences, n_repos, n_owners, verdict (example, live or weak)."""
     each = scanned.select("owner", "repo", F.explode("base").alias("c"))
     by = each.groupBy(F.col("c.hash").alias("hash")).agg(
         F.count(F.lit(1)).alias("n_occurrences"),
         F.countDistinct("repo").alias("n_repos"),
         F.countDistinct(F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit(""))).alias("n_owners"),
+        F.max("c.words").alias("words"),
         F.max("c.live").alias("live"),
     )
     verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("live"), "live").otherwise("weak")
-    return by.select("hash", "n_occurrences", "n_repos", "n_owners", verdict.alias("verdict"))
+    return by.select("hash", "words", "n_occurrences", "n_repos", "n_owners", verdict.alias("verdict"))
+
+
+def runs(scanned: DataFrame, words: DataFrame) -> DataFrame:
+    """row_id, base and t (a candidate) for every run of a token's words that may be
+    a live value: of a number of words in ``words``, with a digit and a letter, and
+    with the punctuation around it as long as a value."""
+    tokens = scanned.where(F.size("tokens") > 0).select("row_id", "base", F.explode("tokens").alias("p"))
+    tokens = tokens.join(F.broadcast(words.select(F.col("words").alias("_k"))), F.size("p") >= F.col("_k"))
+
+    def one(i: Column) -> Column:
+        return F.transform(F.array(F.slice("p", i, F.col("_k"))), run)
+
+    def run(parts: Column) -> Column:
+        first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+        may = F.exists(parts, lambda p: p["digit"]) & F.exists(parts, lambda p: p["letter"]) & (last["high"] - first["low"] >= VALUE_CHARS)
+        rank = KINDS.index("copy")
+        return F.when(
+            may,
+            F.struct(
+                first["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"),
+                last["end"].alias("end"), hashed(parts).alias("hash"),
+            ),
+        )
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - F.col("_k") + 1), one))
+    return tokens.select("row_id", "base", F.explode(every).alias("t")).where("t IS NOT NULL")
 
 
 def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -107,12 +190,8 @@ def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     covered = F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
     span = ("start", "rank", "kind", "end", "hash")
     base = scanned.select("row_id", F.explode("base").alias("t")).select("row_id", *(f"t.{c}" for c in span))
-    tokens = (
-        scanned.where(F.size("tokens") > 0)
-        .select("row_id", "base", F.explode("tokens").alias("t"))
-        .where(~covered)
-        .select("row_id", *(f"t.{c}" for c in span))
-    )
+    words = known.where("verdict = 'live' AND words > 0").select("words").distinct()
+    tokens = runs(scanned, words).where(~covered).select("row_id", *(f"t.{c}" for c in span))
     judged = base.unionByName(tokens).join(known.select("hash", "verdict"), "hash")
     is_copy, live = F.col("rank") == KINDS.index("copy"), F.col("verdict") == "live"
     place = F.struct("start", "rank", "kind", "end")

@@ -94,6 +94,30 @@ def test_ownership_separates_examples_from_live(docs, spark):
     assert all(out[k].text == rows[k][1] for k in range(5)) and out[12].text == "nothing"
 
 
+def test_copies_of_padded_and_glued_values(docs):
+    """A live value is found with or without its padding, a full stop, a name or a path."""
+    pad, own, path, short = "Zm9vYmFyMTIzNDU2Nzg5MA==", "liveKey9876543210", "ab1/Cd2+ef3/Gh4=Ij5", "kq7wz2======"
+    lines = {
+        1: f"here password={pad} and token: {own}. Then secret=+{path}/ and api_key={short} end",
+        2: f"bare ({pad[:-2]}) here",
+        3: f"bare ({pad}) at the end {own}.",
+        4: f"export GH={own} now",
+        5: f"see https://example.com/x1/hooks/{own}/tail9 there",
+        6: f"mv x/{path}/y0 and z={short} but not x/kq7wz2/y0/0",
+        7: f"{own}0 x{own} and {path}7",
+        8: "-=/+.=" * 3 + " token=" + "=" * 14 + " a1" + "/" * 20000 + "b" + "." * 20000 + "c2",
+    }
+    expect = {2: [pad[:-2]], 3: [pad[:-2], own], 4: [own], 5: [own], 6: [path, "kq7wz2"], 7: [], 8: []}
+    df = docs([(k, t, "en", f"s{k % 2}") for k, t in lines.items()])
+    got = {r.doc_id: [lines[r.doc_id][s.start : s.end] for s in r.copies] for r in secrets.secrets(df).collect()}
+    assert {k: got[k] for k in expect} == expect
+    out = {r.doc_id: r.text for r in secrets.redact_documents(df).collect()}
+    assert not any(v in out[k] for v in (pad[:-2], own, path) for k in range(1, 7))
+    shown = "exampleKey1234567"
+    rows = [(k, f"doc {k} token={shown}{end} ok", "en", f"s{k}") for k, end in enumerate(["", ".", "=="])]
+    assert all((r.n_example, r.n_live) == (1, 0) for r in secrets.secrets(docs(rows)).collect())
+
+
 def test_odd_rows(odd, docs):
     for run in (pii.personal_data, secrets.secrets):
         assert run(odd).count() == odd.count()
