@@ -13,10 +13,11 @@ repeated rows get equal results.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,25 +122,45 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(k, len(data)) - len(inflate.unused_data) if inflate.eof else None
 
 
+@lru_cache(maxsize=1)
+def _archives(data: bytes) -> dict[int, int]:
+    """Start and end of what the end records of the bytes describe; the first that
+    tells of a start counts."""
+    found: dict[int, int] = {}
+    k = data.find(b"PK\x05\x06")
+    while 0 <= k <= len(data) - 22:
+        size, offset, comment = struct.unpack_from("<IIH", data, k + 12)
+        if k + 22 + comment <= len(data):
+            found.setdefault(k - size - offset, k + 22 + comment)
+        k = data.find(b"PK\x05\x06", k + 4)
+    return found
+
+
 def _zip(data: bytes, at: int) -> int | None:
-    """A local header, and the end record that points at its directory."""
+    """A local header, and the end record whose directory leads back to it."""
     if at + 30 > len(data) or struct.unpack_from("<H", data, at + 4)[0] > 63:
         return None
-    k = data.find(b"PK\x05\x06", at)
-    if k < 0 or k + 22 > len(data):
-        return None
-    size, offset, comment = struct.unpack_from("<IIH", data, k + 12)
-    end = k + 22 + comment
-    return end if at + offset + size == k and end <= len(data) else None
+    return _archives(data).get(at)
+
+
+PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+PDF_TABLE = re.compile(rb"xref|\d{1,12}\s+\d{1,12}\s+obj")
 
 
 def _pdf(data: bytes, at: int) -> int | None:
-    """A version, and the end marker after a cross-reference pointer."""
+    """A version, and an end marker after a cross-reference pointer. Of the markers up
+    to the next header after the first: the last whose pointer, counted from this
+    header, meets a table, else the last."""
     if not data[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
     pointer = data.find(b"startxref", at)
-    end = data.find(b"%%EOF", pointer) if pointer >= 0 else -1
-    return end + 5 if end >= 0 else None
+    first = data.find(b"%%EOF", pointer) if pointer >= 0 else -1
+    if first < 0:
+        return None
+    after = data.find(b"%PDF-", first)
+    after = after if after >= 0 else len(data)
+    fit = [m.end() for m in PDF_END.finditer(data, pointer, after) if PDF_TABLE.match(data, at + int(m[1]))]
+    return fit[-1] if fit else data.rfind(b"%%EOF", first, after) + 5
 
 
 #: Type, magic bytes, and validator that gives the end of the file.

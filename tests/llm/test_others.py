@@ -96,6 +96,39 @@ def test_sniffing_corrects_and_carves(spark):
     assert got["cut"].detected == media.UNKNOWN and got["null"].detected is None and got["empty"].detected == media.UNKNOWN
 
 
+def test_ends_of_nested_and_updated_files():
+    """Archives with stored archives inside, and PDFs of several parts, are read whole."""
+    import zipfile
+
+    def packed(name, content):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr(name, content)
+            f.writestr("last", "x")
+        return z.getvalue()
+
+    inner = packed("a", "x" * 20)
+    outer = packed("in.zip", inner)
+    at = outer.index(inner)
+    kind = "application/zip"
+    assert media.sniff(outer) == [(kind, 0, len(outer)), (kind, at, at + len(inner))]
+    assert media.sniff(b"pad" + outer + inner)[0] == (kind, 3, 3 + len(outer))
+
+    def pdf(body, update=b""):
+        out = b"%PDF-1.7\n" + body + update
+        return out + b"xref\n0 0\ntrailer\nstartxref\n%d\n%%%%EOF" % len(out)
+
+    kind, plain = "application/pdf", pdf(b"1 0 obj endobj\n")
+    linear = pdf(b"1 0 obj endobj\nxref\nstartxref\n0\n%%EOF\n", b"\n2 0 obj endobj\n")
+    assert media.sniff(linear) == [(kind, 0, len(linear))]
+    two = linear + b"\n" + plain
+    assert media.sniff(two) == [(kind, 0, len(linear)), (kind, len(linear) + 1, len(two))]
+    holder = pdf(b"1 0 obj stream " + plain + b" endobj\n")
+    assert media.sniff(holder) == [(kind, 0, len(holder)), (kind, holder.index(plain), holder.index(plain) + len(plain))]
+    loose = b"%PDF-1.4 startxref 5 %%EOF more startxref 6 %%EOF"
+    assert media.sniff(loose + b"tail") == [(kind, 0, len(loose))]
+
+
 def test_media_digest(docs, odd):
     texts = ["", "a", "é" * 32, "x" * 64, "y" * 65]
     for r in media.digest(docs(list(enumerate(texts)))).collect():
