@@ -154,8 +154,10 @@ def fit(labelled: DataFrame, most_rows: int = MAX_ROWS, most_terms: int = MAX_TE
     rows = sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), most_rows)
     counts = term_counts(rows).persist()
     totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    top = counts.groupBy("kind", "term").agg(F.sum("n").alias("all"))
-    top = top.orderBy(F.col("all").desc(), "kind", "term").limit(most_terms).select("kind", "term")
+    # By the share within a language, so that those with few rows keep their words too.
+    size = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("size")))
+    top = counts.join(size, "lang").groupBy("kind", "term").agg(F.max(F.col("n") / F.col("size")).alias("share"))
+    top = top.orderBy(F.col("share").desc(), "kind", "term").limit(most_terms).select("kind", "term")
     terms: dict[tuple[int, str], dict[str, int]] = {}
     for r in counts.join(top, ["kind", "term"]).collect():
         terms.setdefault((r.kind, r.term), {})[r.lang] = r.n

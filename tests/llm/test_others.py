@@ -142,6 +142,16 @@ def test_media_digest(docs, odd):
 # Languages ---------------------------------------------------------------------------
 
 
+def test_small_languages_keep_their_words_under_the_bound(docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(50)]
+    rows = [(k, " ".join(rng.choices(words, k=30)), "big", "s") for k in range(200)]
+    rows += [(1000 + k, "zupqil vexjom", "small", "s") for k in range(3)]
+    model = langid.fit(docs(rows), most_terms=200)
+    assert {"zupqil", "vexjom"} <= set(model.words) and len(model.words) + len(model.grams) <= 200
+    assert model.predict("zupqil")[0] == "small"
+
+
 def test_held_out_accuracy(docs):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "mo", "ti"], "bb": ["schu", "gen", "ber"], "cc": ["é", "eau", "que"]}
