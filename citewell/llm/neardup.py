@@ -6,14 +6,19 @@ fingerprints either share a segment, or share a segment with the same one bit
 deleted and that bit unlike. An index holds each segment and its 32 one-wildcard
 variants; an equality join finds candidates, which are then verified.
 
-Only distinct fingerprints are joined: copies never meet. A bucket of the index
-with more than ``BUCKET`` fingerprints is not paired but cut again by the rest of
-the fingerprint with its remaining bits deleted; who shares such a key is linked
-for certain, so a star to the smallest member loses no link in the components.
+Only distinct fingerprints are joined: copies never meet. Keys are first counted by
+partial aggregation; a key of two fingerprints is a candidate pair as it stands, and
+only keys of three or more fetch their members. A bucket of the index with more than
+``BUCKET`` fingerprints is not paired but cut again by the rest of the fingerprint
+with its remaining bits deleted; who shares such a key is linked for certain, so a
+star to the smallest member loses no link in the components (``links`` then gives
+the star, not every pair).
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; repeated rows get equal results; a null doc_id never names a component
-unless all of its members are null.
+unless all of its members are null; a text of any length is hashed whole, its
+shingles in blocks; an empty table gives an empty result; only doc_id and text are
+read, so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citewell import ship
@@ -33,6 +37,8 @@ SHINGLE = 3
 BITS, SEGMENT = 64, 32
 SEED = 42
 BUCKET = 256
+#: Entries of the index that a task makes.
+ENTRIES = 500_000
 #: Shingles counted at a time: bounds memory for very long texts.
 CHUNK = 1 << 16
 LOW = (1 << SEGMENT) - 1
@@ -65,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t or "") for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            fps = np.array([simhash(t.as_py() or "") for t in batch.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     ship()
@@ -139,22 +145,25 @@ def _stars(hot: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: pairs of distinct fingerprints at most two bits apart, all of them
     but for large buckets, whose members are linked through their smallest."""
-    # Most keys have one fingerprint; they go where the index is dealt by key, so
-    # that it is dealt once. A neighbour in key order tells without a count.
-    by_key = W.partitionBy("key").orderBy("fp")
-    near = F.lag("fp").over(by_key).isNotNull() | F.lead("fp").over(by_key).isNotNull()
-    index = variants(fps).withColumn("near", near).where("near").drop("near")
-    index = durable(index, "simhash-index")
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = durable(sizes.where(F.col("n") > bucket).select("key"), "simhash-hot")
-    entries = index.join(hot, "key", "left_anti")
+    parts = -(-fps.count() * 2 * (SEGMENT + 1) // ENTRIES)
+    index = variants(fps.repartition(max(parts, 1), "fp"))
+    # Most keys have one fingerprint. Counts tell them apart, and are merged before
+    # they are shuffled: a key that many share is no task's burden.
+    keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    keys = durable(keys.where("n > 1"), "simhash-keys")
+    close = _differing("a", "b") <= 2
+    pairs = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(close)
+    many = keys.where("n > 2").select("key", (F.col("n") > bucket).alias("hot"))
+    held = durable(index.join(many, "key"), "simhash-index")
+    entries = held.where("NOT hot")
     left = entries.where("bit IS NULL OR NOT bit").select("key", F.col("fp").alias("a"), F.col("bit").isNull().alias("same"))
     right = entries.where("bit IS NULL OR bit").select("key", F.col("fp").alias("b"), F.col("bit").isNull().alias("same"))
-    pairs = left.join(right, ["key", "same"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & (_differing("a", "b") <= 2))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = left.join(right, ["key", "same"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & close)
+    pairs = pairs.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    hot = held.where("hot").select("fp", "key")
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_stars(index.join(hot, "key").select("fp", "key")))
-    return pairs
+        pairs = pairs.unionByName(_stars(hot))
+    return pairs.distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
