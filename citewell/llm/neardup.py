@@ -228,10 +228,17 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
         F.length(whole("text")).alias("n"),
     )
     found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    ids = found.select(F.col("component_id").alias("_id")).distinct()
+    # Plain columns that are never null: both sides are dealt by them alike.
+    flat = lambda k: (
+        k["none"].alias("_none"), F.coalesce(k["id"].cast("string"), F.lit("")).alias("_id"), k["hash"].alias("_hash"), k["n"].alias("_n")
+    )
+    names = ["_none", "_id", "_hash", "_n"]
+    ids = found.select("component_id").distinct().select(*flat(F.col("component_id")))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # away from the names used here
-    rows = docs.select(row, key.alias("_doc")).join(ids, F.col("_doc") == F.col("_id"), "left_semi")
-    return rows.dropDuplicates(["_doc"]).select("_row.*")
+    # Whole rows are shuffled once: repeated rows are merged before, and the merge
+    # join takes them as they lie. (A join turned into a broadcast would not.)
+    rows = docs.select(row, key.alias("_doc")).select("_row", *flat(F.col("_doc"))).dropDuplicates(names)
+    return rows.join(ids.hint("merge"), names, "left_semi").select("_row.*")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
