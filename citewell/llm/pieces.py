@@ -7,7 +7,8 @@ bytes, are projected through that record to spans of the original bytes.
 
 Defined results: a null text is empty; begin and end ids are on by default and
 have empty spans at the ends; repeated rows are encoded each on its own; a text of
-any length is encoded whole.
+any length is encoded whole; an empty table gives an empty result; only doc_id and
+text are read, so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -89,24 +90,33 @@ class Pieces:
     def normalised(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each and the end the original byte."""
         data = text.encode()
-        if not data:
-            return b"", np.zeros(1, dtype=np.int64)
-        if self.map.units:
-            out, origin = self._mapped(data)
-        else:
-            out, origin = data, np.arange(len(data) + 1)
-        if self.spec.remove_extra_whitespaces:
+        out, origin, lead = self._mapped(data) if self.map.units else self._same(data)
+        squeeze = self.spec.remove_extra_whitespaces
+        if not data or (squeeze and lead == len(data)):
+            return b"", np.full(1, lead if data else 0)
+        if squeeze:
             out, origin = self._squeezed(out, origin)
-        if self.spec.add_dummy_prefix and out:
-            out, origin = b" " + out, np.concatenate([origin[:1], origin])
+        if self.spec.add_dummy_prefix:  # it stands where the spaces ahead of the text end
+            out, origin = b" " + out, np.concatenate([[lead if squeeze else 0], origin])
+        space = SPACE if self.spec.escape_whitespaces else b" "
         if self.spec.escape_whitespaces:
             widths = np.where(np.frombuffer(out, dtype=np.uint8) == 32, len(SPACE), 1)
             out = out.replace(b" ", SPACE)
             origin = np.concatenate([np.repeat(origin[:-1], widths), origin[-1:]])
+        if squeeze:  # after the escape: a mark that the text itself ends in goes as well
+            n = len(out)
+            while out[:n].endswith(space):
+                n -= len(space)
+            out, origin = out[:n], origin[: n + 1]
         return out, origin
 
-    def _mapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        parts, origin, at = [], [], 0
+    @staticmethod
+    def _same(data: bytes) -> tuple[bytes, np.ndarray, int]:
+        return data, np.arange(len(data) + 1), len(data) - len(data.lstrip(b" "))
+
+    def _mapped(self, data: bytes) -> tuple[bytes, np.ndarray, int]:
+        """The mapped bytes, their origins, and where the leading spaces end."""
+        parts, origin, at, lead, ahead = [], [], 0, 0, True
         while at < len(data):
             hit = self.map.longest(data, at)
             if hit is None:  # the character itself
@@ -115,15 +125,16 @@ class Pieces:
             parts.append(hit[1])
             origin += [at] * len(hit[1])
             at += hit[0]
-        return b"".join(parts), np.array([*origin, len(data)], dtype=np.int64)
+            ahead = ahead and hit[1] == b" "
+            lead = at if ahead else lead
+        return b"".join(parts), np.array([*origin, len(data)], dtype=np.int64), lead
 
     def _squeezed(self, out: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
-        keep = np.ones(len(out), dtype=bool)
+        """Of each run of spaces the first stays, of the one ahead of the text none."""
+        keep = np.ones(len(out) + 1, dtype=bool)
         for m in re.finditer(b" +", out):
-            keep[m.start() + (0 < m.start() and m.end() < len(out)) : m.end()] = False
-        end = origin[-1] if not out.endswith(b" ") else origin[len(out.rstrip(b" "))]
-        kept = np.frombuffer(out, dtype=np.uint8)[keep].tobytes()
-        return kept, np.append(origin[:-1][keep], end)
+            keep[m.start() + (m.start() > 0) : m.end()] = False
+        return np.frombuffer(out, dtype=np.uint8)[keep[:-1]].tobytes(), origin[keep]
 
     def encode(self, texts: list[str], ends: bool = True) -> list[list[int]]:
         return self.library.encode(texts, add_bos=ends, add_eos=ends, num_threads=1)
