@@ -5,9 +5,11 @@ over the bytes; a validator of each format then reads its headers and lengths. W
 passes at offset 0 is the true type, whatever was declared; what passes further in
 and ends within the bytes is embedded media, which can be carved out.
 
-Defined results: null content has type null and nothing embedded; unknown bytes
-have type ``application/octet-stream``; content of any length is read whole;
-repeated rows get equal results.
+Defined results: null content has type null and nothing embedded; a null text is
+stored as an empty one; unknown and empty bytes have type
+``application/octet-stream``; content of any length is read whole; repeated rows get
+equal results; an empty table gives an empty result; only the named columns are read,
+so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +98,7 @@ def _jpeg(data: bytes, at: int) -> int | None:
             return None
         k += 2 + size
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", k)
+            end = marks(data).first(b"\xff\xd9", k)
             return end + 2 if end >= 0 else None
     return None
 
@@ -122,29 +125,68 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(k, len(data)) - len(inflate.unused_data) if inflate.eof else None
 
 
+class Marks:
+    """Places of what validators look for beyond their header, found once for all the
+    headers of the bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.places[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, or -1."""
+        places = self.of(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def last(self, mark: bytes, before: int) -> int:
+        """The last place that ends before ``before``, or -1."""
+        places = self.of(mark)
+        k = bisect_left(places, before - len(mark) + 1)
+        return places[k - 1] if k else -1
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start and end of what the end records of the bytes describe; the first that
+        tells of a start counts."""
+        found: dict[int, int] = {}
+        for k in self.of(b"PK\x05\x06"):
+            if k <= len(self.data) - 22:
+                size, offset, comment = struct.unpack_from("<IIH", self.data, k + 12)
+                if k + 22 + comment <= len(self.data):
+                    found.setdefault(k - size - offset, k + 22 + comment)
+        return found
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """Start, end and pointer of each end marker with a cross-reference pointer."""
+        return [(m.start(), m.end(), int(m[1])) for m in PDF_END.finditer(self.data)]
+
+    @cached_property
+    def pdf_tables(self) -> set[int]:
+        return {m.start() for m in PDF_TABLE.finditer(self.data)}
+
+
 @lru_cache(maxsize=1)
-def _archives(data: bytes) -> dict[int, int]:
-    """Start and end of what the end records of the bytes describe; the first that
-    tells of a start counts."""
-    found: dict[int, int] = {}
-    k = data.find(b"PK\x05\x06")
-    while 0 <= k <= len(data) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", data, k + 12)
-        if k + 22 + comment <= len(data):
-            found.setdefault(k - size - offset, k + 22 + comment)
-        k = data.find(b"PK\x05\x06", k + 4)
-    return found
+def marks(data: bytes) -> Marks:
+    return Marks(data)
 
 
 def _zip(data: bytes, at: int) -> int | None:
     """A local header, and the end record whose directory leads back to it."""
     if at + 30 > len(data) or struct.unpack_from("<H", data, at + 4)[0] > 63:
         return None
-    return _archives(data).get(at)
+    return marks(data).archives.get(at)
 
 
 PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
-PDF_TABLE = re.compile(rb"xref|\d{1,12}\s+\d{1,12}\s+obj")
+#: Where a pointer may lead: a table, or the number of an object (at any of its digits).
+PDF_TABLE = re.compile(rb"xref|\d(?=\d{0,11}\s+\d{1,12}\s+obj)")
 
 
 def _pdf(data: bytes, at: int) -> int | None:
@@ -153,14 +195,18 @@ def _pdf(data: bytes, at: int) -> int | None:
     header, meets a table, else the last."""
     if not data[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    pointer = data.find(b"startxref", at)
-    first = data.find(b"%%EOF", pointer) if pointer >= 0 else -1
+    m = marks(data)
+    pointer = m.first(b"startxref", at)
+    first = m.first(b"%%EOF", pointer) if pointer >= 0 else -1
     if first < 0:
         return None
-    after = data.find(b"%PDF-", first)
+    after = m.first(b"%PDF-", first)
     after = after if after >= 0 else len(data)
-    fit = [m.end() for m in PDF_END.finditer(data, pointer, after) if PDF_TABLE.match(data, at + int(m[1]))]
-    return fit[-1] if fit else data.rfind(b"%%EOF", first, after) + 5
+    ends = m.pdf_ends
+    for start, end, target in reversed(ends[bisect_left(ends, (pointer,)) : bisect_left(ends, (after,))]):
+        if end <= after and at + target in m.pdf_tables:
+            return end
+    return m.last(b"%%EOF", after) + 5
 
 
 #: Type, magic bytes, and validator that gives the end of the file.
