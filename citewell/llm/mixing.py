@@ -7,10 +7,16 @@ it are added: no task ever sees a whole source. A source's budget is cut exactly
 where its prefix sum reaches it; budgets beyond the source's size repeat it in
 whole epochs first.
 
+What orders sources (their weights, caps and targets) is a table of one row a source,
+sorted in one task: tens of millions of sources fit there, and its size is that of the
+sources, never of the rows.
+
 Defined results: a null text has size 0; a null source is a source of its own,
-after all others; rows that are equal in doc_id and text share a key and are
-interchangeable; an empty table gives an empty mix; a source of only empty texts
-has target 0. The row where the cut falls gives only its first words.
+after all others; rows that are equal in doc_id and text share a key, and those that
+differ in other columns are then taken in the order of these; an empty table gives an
+empty mix; a source of only empty texts has target 0; a text of any length is counted
+whole, and cut by one pass over it. The row where the cut falls gives only its first
+words. Only doc_id, text and source are read; further columns may have any names.
 """
 
 from __future__ import annotations
@@ -54,7 +60,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     by = sized.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("size").cast("bigint").alias("source_size")
     )
-    # One row per source from here on; these windows order sources, not rows.
+    # One row per source from here on; these windows order sources, not rows: see above.
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank"), F.lit(len(weights))) + 1)
     s = by.withColumn("rank", rank).withColumn("w", weight.cast("bigint"))
@@ -156,13 +162,19 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     keyed = keyed.join(per, F.col("_from").eqNullSafe(F.col("_source")))
     times = F.col("epochs").cast("int") + F.when(F.col("_key") < F.col("cut_key"), 1).otherwise(0)
     rows = keyed.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
-    # Rows that share the cut's key are equal; the cut falls in one of them.
-    at = keyed.where(F.col("_key") == F.col("cut_key"))
-    nth = F.row_number().over(W.partitionBy("_from", "_key").orderBy(F.lit(1))) - 1
-    size = F.regexp_count(whole("_text"), F.lit(WORD))
-    last = F.least(size.cast("bigint"), F.col("cut") - F.col("cut_before") - nth * size)
-    at = at.withColumn("_last", last).where(F.col("_last") > 0)
-    text = F.when(F.col("_last") >= size, F.col("_text")).otherwise(first_words(F.col("_text"), F.col("_last")))
+    # Rows that share the cut's key are equal in doc_id and text; the cut falls in one of
+    # them. Rows equal in all columns are merged to a count before any are ordered.
+    at = keyed.where(F.col("_key") == F.col("cut_key")).groupBy("_from", "_key", F.to_json("_row").alias("_json"))
+    at = at.agg(F.first("_row").alias("_row"), F.first("_text").alias("_text"), F.first(F.col("cut") - F.col("cut_before")).alias("_left"), F.count(F.lit(1)).alias("_m"))
+    ahead = F.coalesce(F.sum("_m").over(W.partitionBy("_from", "_key").orderBy("_json").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    size = F.regexp_count(whole("_text"), F.lit(WORD)).cast("bigint")
+    at = at.withColumn("_size", size).withColumn("_left", F.col("_left") - ahead * F.col("_size")).where(F.col("_left") > 0)
+    full = F.least(F.col("_m"), F.floor(F.col("_left") / F.col("_size"))).cast("int")
+    rest = F.when(F.col("_full") < F.col("_m"), F.col("_left") - F.col("_full") * F.col("_size")).otherwise(0)
+    at = at.withColumn("_full", full).withColumn("_rest", rest)
+    given = F.concat(F.array_repeat("_size", F.col("_full")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))
+    at = at.withColumn("_last", F.explode(given))
+    text = F.when(F.col("_last") >= F.col("_size"), F.col("_text")).otherwise(first_words(F.col("_text"), F.col("_last")))
     at = at.withColumn("_cut", text)
     given = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:

@@ -6,7 +6,8 @@ policy or an ablation reads the ledger and never the texts again.
 
 Defined results: a null text counts as empty (no words, fails ``short``); repeated
 rows each get their own ledger row; columns of the input whose names clash with
-the ledger's are replaced, other columns are kept only if asked for by ``keep``.
+the ledger's are replaced, other columns are kept only if asked for by ``keep``; a
+text of any length is measured whole; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -195,12 +196,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE = f"""
+#: Rules, bits and policies are written here anew, from what they say and not from the code.
+ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d
 ), g AS (
   SELECT rid, i, list_slice(ws, i, i + 4) AS g FROM w, unnest(range(1, len(ws) - 3)) AS r(i)
@@ -210,16 +212,28 @@ WITH d AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM c, range(0, 5) AS o(k) GROUP BY rid
 ), m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words,
-    length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
     (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim,
-    length(regexp_replace(t, '\\P{{Lu}}+', '', 'g'))::BIGINT AS n_upper
+    length(regexp_replace(t, '\P{Lu}+', '', 'g'))::BIGINT AS n_upper
   FROM w LEFT JOIN covered USING (rid)
+), f AS (
+  SELECT *,
+    n_words < 10 AS few_words,
+    n_repeat_words / n_words > 0.2 AS repeats_itself,
+    n_symbols / n_words > 0.3 AS symbols,
+    n_dup_lines / n_lines > 0.6 AS same_lines,
+    n_words > 0 AND (word_chars / n_words < 2 OR word_chars / n_words > 20) AS odd_words,
+    n_words >= 10 AND n_upper / word_chars > 0.5 AS capitals,
+    n_exclaim / n_words > 0.5 AS exclaims
+  FROM m
 ), b AS (
-  SELECT *, ({" + ".join(f"CASE WHEN {test} THEN {1 << bit} ELSE 0 END" for _, bit, test in RULES)})::BIGINT AS fail_bits FROM m
+  SELECT *, (CASE WHEN few_words THEN 1 ELSE 0 END + CASE WHEN repeats_itself THEN 2 ELSE 0 END + CASE WHEN symbols THEN 4 ELSE 0 END
+    + CASE WHEN same_lines THEN 8 ELSE 0 END + CASE WHEN odd_words THEN 16 ELSE 0 END + CASE WHEN capitals THEN 32 ELSE 0 END
+    + CASE WHEN exclaims THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       fail_bits & {mask(*BASE_RULES)} <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+       few_words OR coalesce(repeats_itself, false) AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
