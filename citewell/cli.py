@@ -6,7 +6,6 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citewell.config import settings
@@ -60,8 +59,7 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> int:
         return 1
     manifest, aliases = tables.source_index(spark, a.manifest), tables.read_aliases(spark, a.aliases)
     answers = answer(rows, corpus, manifest, aliases, settings(spark)).persist()
-    index = F.row_number().over(W.orderBy("query_id"))
-    line = tables.answer_payload() if a.json else tables.print_record(index)
+    line = tables.answer_payload() if a.json else tables.print_record(F.col("query_id") + 1)
     for r in answers.select("query_id", line.alias("line")).orderBy("query_id").toLocalIterator():
         print(r.line)
     return int(not answers.where(F.col("kind") == ERROR).isEmpty())

@@ -1,10 +1,11 @@
 """Retrieval: scheme filter, exact nearest neighbours, threshold, section dedupe,
 maximal marginal relevance.
 
-Questions are the small side. They go out in blocks of bounded size; each Arrow
-batch of the corpus is multiplied with a block and gives only its own best rows per
-question, so what is shuffled is a few rows per batch and question, whatever the
-size of the corpus.
+Questions are the small side. They go out in blocks of checked size, one at a time: a
+single block is part of the plan; of several, each is searched and its few results
+stored before the next is fetched, so the driver never holds two. Workers multiply
+tiles of bounded size and keep each question's best rows over their whole partition:
+what is shuffled is a few rows per task and question, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -22,34 +23,49 @@ from citewell.config import Settings
 from citewell.errors import CorpusEmptyError
 from citewell.functions.text import let, normalize_url, strip_context_header
 from citewell.operators.encode import dot
+from citewell.operators.store import checkpointed
 
-#: Bytes of question vectors sent to the workers at a time.
+#: Bytes of question vectors sent to the workers at a time, and of a tile of products.
 BLOCK_BYTES = 32 << 20
+TILE_BYTES = 16 << 20
+#: Aliases that are folded into patterns; more are joined.
+FEW = 256
 
 
-def resolve_scheme(questions: DataFrame, aliases: DataFrame, query: str = "query") -> DataFrame:
+def resolve_scheme(questions: DataFrame, aliases: DataFrame, query: str = "query", few: int = FEW) -> DataFrame:
     """``questions`` with scheme_id where the aliases in the question name exactly
     one scheme, else null.
 
-    ``aliases`` (scheme_id, alias) is a manifest; its patterns are folded into one
-    per scheme, so a question is matched once for each scheme and nothing is joined.
+    ``aliases`` (scheme_id, alias) is a manifest. Up to ``few`` of them become one
+    pattern per scheme, and nothing is joined. Longer lists are looked up by word: an
+    alias meets the questions that have its first word, and only then is it searched.
     """
-    by = (
-        aliases.where("alias IS NOT NULL AND scheme_id IS NOT NULL")
-        .groupBy("scheme_id")
-        .agg(F.sort_array(F.collect_set(F.lower("alias"))).alias("names"))
-        .orderBy("scheme_id")
-        .collect()
-    )
-    quote = lambda a: r"\Q" + a.replace(r"\E", r"\E\\E\Q") + r"\E"
+    named = aliases.where("alias IS NOT NULL AND scheme_id IS NOT NULL").select("scheme_id", F.lower("alias").alias("alias")).distinct()
     text = F.lower(F.coalesce(F.col(query), F.lit("")))
-    hits = [
-        F.when(text.rlike(r"(?U)(?<!\w)(?:" + "|".join(map(quote, r.names)) + r")(?!\w)"), F.lit(r.scheme_id)) for r in by
-    ]
+    found = named.limit(few + 1).collect()
+    if len(found) > few:
+        return _looked_up(questions, named, text)
+    by: dict[str, list[str]] = {}
+    for r in found:
+        by.setdefault(r.scheme_id, []).append(r.alias)
+    quote = lambda a: r"\Q" + a.replace(r"\E", r"\E\\E\Q") + r"\E"
+    hits = [F.when(text.rlike(r"(?U)(?<!\w)(?:" + "|".join(map(quote, sorted(by[s]))) + r")(?!\w)"), F.lit(s)) for s in sorted(by)]
     found = F.filter(F.array(*hits), lambda s: s.isNotNull()) if hits else F.array().cast("array<string>")
     return questions.withColumn("scheme_id", let(found, lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0)))))
 
 
+def _looked_up(questions: DataFrame, named: DataFrame, text: Column) -> DataFrame:
+    """By an equality join of words; questions of one wording are resolved once."""
+    words = lambda x: F.array_append(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))), F.lit(""))
+    first = F.get(words(F.col("alias")), F.lit(0))  # "" for an alias without a word
+    keyed = named.select("scheme_id", first.alias("_word"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)")).alias("_pattern"))
+    asked = questions.select(text.alias("_text")).distinct()
+    hits = asked.select("_text", F.explode(words(F.col("_text"))).alias("_word")).join(keyed, "_word").where(F.call_function("rlike", F.col("_text"), F.col("_pattern")))
+    one = hits.groupBy("_text").agg(F.min("scheme_id").alias("_least"), F.max("scheme_id").alias("_most")).where("_least = _most")
+    joined = questions.withColumn("_text", text).join(one.select("_text", F.col("_least").alias("_scheme")), "_text", "left")
+    return joined.withColumn("scheme_id", F.col("_scheme")).drop("_text", "_scheme")
+
+
 def nearest(
     corpus: DataFrame,
     questions: DataFrame,
@@ -71,69 +87,89 @@ def nearest(
     """
     ship()
     columns = [question, question_vector, *([filter_by] if filter_by else [])]
-    asked = questions.select(*columns).where(F.col(question_vector).isNotNull())
+    # Held while they are counted and fetched: an encoder may be behind them.
+    held = questions.select(*columns).persist()
+    asked = held.where(F.col(question_vector).isNotNull())
     keys, kind = corpus.schema[key].dataType.simpleString(), questions.schema[question].dataType.simpleString()
     side = corpus.select(key, vector, *([filter_by] if filter_by else [])).where(F.col(vector).isNotNull())
     schema = f"{question} {kind}, {key} {keys}, similarity double"
-    found = None
-    for block in _blocks(asked, question_vector):
-        best = side.mapInArrow(_search(block, n, key, vector, question, question_vector, filter_by, least, exclude_self), schema)
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], schema)
+    spark = corpus.sparkSession
+    size = asked.select(F.count(F.lit(1)).alias("n"), F.max(F.size(question_vector)).alias("d")).first()
+    blocks = -(-size.n * (size.d or 0) * 8 // BLOCK_BYTES)
+    place = F.pmod(F.xxhash64(question, question_vector), F.lit(max(blocks, 1)))
+    found = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        sent = spark.sparkContext.broadcast((asked.where(place == k) if blocks > 1 else asked).toArrow())
+        best = side.mapInArrow(_search(sent, n, key, vector, question, question_vector, filter_by, least, exclude_self), schema)
+        if blocks > 1:
+            best = checkpointed(best)
+            sent.destroy()
+        found = best if k == 0 else found.unionByName(best)
+    held.unpersist()
     order = W.partitionBy(question).orderBy(F.col("similarity").desc(), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _blocks(asked: DataFrame, vector: str) -> Iterator[pa.Table]:
-    """Questions in blocks: each is collected alone, so the driver holds one."""
-    n = asked.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
-    if not n.n:
-        return
-    blocks = max(1, -(-n.n * n.d * 8 // BLOCK_BYTES))
-    place = F.pmod(F.xxhash64(asked.columns[0]), F.lit(blocks))
-    for k in range(blocks):
-        yield (asked if blocks == 1 else asked.where(place == k)).toArrow()
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(array), -1)
 
 
-def _search(block, n, key, vector, question, question_vector, filter_by, least, exclude_self):
-    wanted, ids = _matrix(block[question_vector]), block[question].to_pylist()
-    limits = block[filter_by].to_pylist() if filter_by else None
+class _Best:
+    """The best rows of each question so far: similarities, and keys beside them."""
+
+    def __init__(self, questions: int, n: int):
+        self.n = n
+        self.rows: list[list[tuple[float, object]]] = [[] for _ in range(questions)]
+        #: What a row must reach to be among the best: the last of them, once there are n.
+        self.floor = np.full(questions, -np.inf)
 
+    def add(self, q: int, similar: np.ndarray, at: np.ndarray, keys: list) -> None:
+        """Candidates at places ``at`` of a tile; ties with the last go by key."""
+        if len(at) > self.n:  # all that tie with the n-th stay until they are sorted
+            at = at[similar[at] >= np.partition(similar[at], len(at) - self.n)[len(at) - self.n]]
+        both = self.rows[q] + [(-similar[k], keys[k]) for k in at.tolist()]
+        both.sort()
+        self.rows[q] = both[: self.n]
+        if len(self.rows[q]) == self.n:
+            self.floor[q] = -self.rows[q][-1][0]
+
+
+def _search(sent, n, key, vector, question, question_vector, filter_by, least, exclude_self):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: pa.Table = sent.value
+        wanted, ids = _matrix(block[question_vector]), block[question].to_pylist()
+        best, kind = _Best(len(ids), n), None
+        codes: dict = {}
+        code = lambda values: np.array([-1 if v is None else codes.setdefault(v, len(codes)) for v in values])
+        limits = code(block[filter_by].to_pylist()) if filter_by else None
+        own_place = {k: i for i, k in enumerate(ids)} if exclude_self else {}
+        if least is not None:
+            best.floor[:] = least
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(key).to_pylist()
-            order = np.argsort(np.array(own, dtype=object), kind="stable") if len(own) > 1 else np.zeros(1, dtype=int)
-            place = np.empty(len(own), dtype=np.int64)
-            place[order] = np.arange(len(own))
-            similar = wanted @ _matrix(batch.column(vector)).T
-            labels = np.array(batch.column(filter_by).to_pylist(), dtype=object) if filter_by else None
-            rows: tuple[list, list, list] = [], [], []
-            for q, sims in enumerate(similar):
-                keep = np.ones(len(own), dtype=bool) if least is None else sims >= least
-                if limits and limits[q] is not None:
-                    keep &= labels == limits[q]
-                if exclude_self:
-                    keep &= np.array([k != ids[q] for k in own])
-                at = np.nonzero(keep)[0]
-                if len(at) > n:  # all that tie with the n-th stay until ties are cut by key
-                    at = at[sims[at] >= np.partition(sims[at], len(at) - n)[len(at) - n]]
-                at = at[np.lexsort((place[at], -sims[at]))][:n]
-                rows[0].extend([ids[q]] * len(at))
-                rows[1].extend(own[k] for k in at)
-                rows[2].extend(sims[at].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], block[question].type), pa.array(rows[1], batch.column(key).type), pa.array(rows[2], pa.float64())],
-                [question, key, "similarity"],
-            )
+            kind, own, rows = batch.column(key).type, batch.column(key).to_pylist(), _matrix(batch.column(vector))
+            labels = code(batch.column(filter_by).to_pylist()) if filter_by else None
+            step = max(1, TILE_BYTES // (8 * len(own)))
+            selves = [(own_place[k], j) for j, k in enumerate(own) if k in own_place]
+            for a in range(0, len(ids), step):
+                tile = wanted[a : a + step] @ rows.T
+                good = tile >= best.floor[a : a + step, None]
+                if filter_by:
+                    good &= (limits[a : a + step, None] == -1) | (limits[a : a + step, None] == labels[None, :])
+                for q, j in selves:
+                    if a <= q < a + step:
+                        good[q - a, j] = False
+                for q in np.flatnonzero(good.any(axis=1)).tolist():
+                    best.add(a + q, tile[q], np.flatnonzero(good[q]), own)
+        out = [(ids[q], k, -s) for q, found in enumerate(best.rows) for s, k in found]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], block[question].type), pa.array(columns[1], kind or pa.null()), pa.array(columns[2], pa.float64())],
+            [question, key, "similarity"],
+        )
 
     return run
 

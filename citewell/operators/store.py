@@ -2,12 +2,17 @@
 
 For a batch that isn't empty, deleting what is stale and writing what is new is
 replacing the snapshot by the batch; an empty batch leaves the snapshot as it is.
-A version is written beside the last and then named in a pointer file, so readers
-never see half of one.
+
+A version is a folder of its own, numbered in order, and counts from the moment that
+an empty marker file exists beside its rows. Creating that file is the only step that
+changes what readers see: a crash at any point leaves the last version in place.
+Nothing is deleted by a write, so readers keep the files of the version that they
+opened; ``vacuum`` removes old versions and what crashes have left.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 
 from citewell.errors import ConfigError
 
+VERSION, MARKER = "v-", "_COMMITTED"
 FLAT = ("chunk_id", "scheme_id", "scheme_name", "category", "plan", "section", "source_url", "fetched_at")
 
 
@@ -64,18 +70,32 @@ class Store:
         if not path:
             raise ConfigError("a store needs a path")
 
-    def _fs(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _fs(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def folders(self) -> list[str]:
+        """All folders of versions, whole or not, in order."""
+        fs, root = self._fs()
+        if not fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()]
+        return sorted(n for n in names if n.startswith(VERSION))
+
+    def versions(self) -> list[str]:
+        """Those that count, in order."""
+        found = []
+        for name in self.folders():
+            fs, marker = self._fs(f"{name}/{MARKER}")
+            if fs.exists(marker):
+                found.append(name)
+        return found
+
     def current(self) -> str | None:
-        fs, pointer = self._fs("CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return next(reversed(self.versions()), None)
 
-    def read(self) -> DataFrame | None:
-        version = self.current()
+    def read(self, version: str | None = None) -> DataFrame | None:
+        version = version or self.current()
         return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
 
     def write(self, batch: DataFrame, position: str | None = None, key: str = "chunk_id", force: bool = False) -> bool:
@@ -84,16 +104,43 @@ class Store:
         if batch.isEmpty() and not force:
             return False
         rows = batch if position is None else first_by_id(batch, position, key)
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        before = self.current()
-        fs, pointer = self._fs("CURRENT")
-        fs.delete(pointer, True)
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(f"{self.path}/CURRENT")
-        if before:
-            fs.delete(self._fs(before)[1], True)
+        self.commit(self.stage(rows))
         return True
 
+    def stage(self, rows: DataFrame) -> str:
+        """Write the rows as a version that doesn't count yet; its name."""
+        last = next(reversed(self.folders()), f"{VERSION}{0:012d}")
+        version = f"{VERSION}{int(last[len(VERSION) :].partition('-')[0]) + 1:012d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{version}")
+        return version
+
+    def commit(self, version: str) -> None:
+        fs, marker = self._fs(f"{version}/{MARKER}")
+        fs.create(marker, False).close()
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove all but the last ``keep`` versions, and older folders that never came
+        to count; the names removed. Run it when nothing reads or writes these."""
+        counted = self.versions()
+        kept = counted[-max(keep, 1) :]
+        gone = [n for n in self.folders() if n not in kept and kept and n < kept[-1]]
+        for name in gone:
+            fs, path = self._fs(name)
+            fs.delete(path, True)
+        return gone
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Checkpointed in the folder that the session names; a local session without one
+    gets a temporary folder, a cluster must name it."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citewell-"))
+    return rows.checkpoint()
+
 
 def flat_metadata(chunks: DataFrame) -> DataFrame:
     """Eleven scalars of each chunk, flags as words, missing text empty."""

@@ -161,8 +161,7 @@ def answer(
     open_ = rows.where(F.col("guard.action") == guard.ANSWER)
     if store.is_empty(corpus):
         return refused.unionByName(error_answers(open_, SETUP, ["corpus_empty"]))
-    # Kept, since the search reads it in blocks and the encoder is the costly part.
-    asked = encode(open_, "query", "embedding", load, dimensions or s.dimensions).persist()
+    asked = encode(open_, "query", "embedding", load, dimensions or s.dimensions)
     found = search.results(asked, search.retrieve(asked, corpus, s, empty_check=False))
     open_ = open_.drop("max_similarity").join(found.drop("filtered_scheme_id"), "query_id")
     return (

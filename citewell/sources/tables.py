@@ -96,11 +96,12 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, query: lines that aren't blank, up to one that ends the session."""
+    """query_id, query: lines that aren't blank, up to one that ends the session. The
+    file is one session, numbered by line."""
     rows = spark.read.text(path).coalesce(1).withColumn("query_id", F.monotonically_increasing_id())
     rows = rows.select("query_id", strip(F.col("value")).alias("query"))
-    ended = F.max(F.lower("query").isin(*EXIT_WORDS)).over(W.orderBy("query_id").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_ended", ended).where("NOT _ended AND query <> ''").drop("_ended")
+    ended = rows.where(F.lower("query").isin(*EXIT_WORDS)).agg(F.min("query_id")).first()[0]
+    return rows.where("query <> ''" if ended is None else f"query <> '' AND query_id < {ended}")
 
 
 def answer_payload() -> Column:

@@ -116,6 +116,26 @@ def test_store(spark, tmp_path):
     assert store.write(chunks.limit(0), force=True) and store.read().isEmpty()
 
 
+def test_store_survives_a_crash_between_any_two_steps(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda n: spark.createDataFrame([(f"c{k}", k) for k in range(n)], "chunk_id string, chunk_index int")
+    assert store.current() is None and store.vacuum() == []
+    store.stage(rows(9))  # a crash before the first commit: there is no store yet
+    assert store.current() is None and store.read() is None
+    store.write(rows(1))
+    first, opened = store.current(), store.read()
+    half = store.stage(rows(2))  # a crash after the rows are written
+    assert store.current() == first and store.read().count() == 1
+    (tmp_path / "store" / "v-000000000099-torn").mkdir()  # or while they were
+    assert store.current() == first
+    store.write(rows(3))
+    assert store.read().count() == 3 and opened.count() == 1  # the reader of the old version keeps its files
+    assert store.read(first).count() == 1
+    store.write(rows(4))
+    gone = store.vacuum(keep=1)
+    assert first in gone and half in gone and store.read().count() == 4 and store.versions() == [store.current()]
+
+
 def test_tables(spark, tmp_path):
     good = tmp_path / "s.csv"
     good.write_text("scheme_id,scheme_name,category,plan,url\n a , A,c,p,https://u\n,,,,\nb,B,c,p,https://v\n")

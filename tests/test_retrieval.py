@@ -29,6 +29,32 @@ def test_nearest_against_brute_force(spark):
         assert got.get(q, []) == [c for _, c in sorted((round(s, 12), c) for s, c in sims)[:7]]
 
 
+@pytest.mark.parametrize("block, tile", [(1 << 25, 1 << 24), (1200, 1 << 24), (1200, 64)])
+def test_nearest_in_blocks_and_tiles(spark, monkeypatch, block, tile):
+    """Many questions: several blocks, each multiplied in tiles, give what one loop does."""
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", block)
+    monkeypatch.setattr(retrieve, "TILE_BYTES", tile)
+    rng = np.random.default_rng(8)
+    rows = [(f"c{k:03}", ["a", "b", None][k % 3], rng.integers(-2, 3, size=4).astype(float).tolist()) for k in range(90)]  # many ties
+    asked = [(f"c{k:03}", [None, "a"][k % 2], rows[k][2]) for k in range(90)]
+    questions = spark.createDataFrame(asked, f"query_id string, scheme_id string, embedding {VEC}")
+    found = retrieve.nearest(corpus(spark, rows).repartition(3), questions, 5, filter_by="scheme_id", exclude_self=True)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for q, scheme, v in asked:
+        sims = sorted((-float(np.dot(v, e)), c) for c, s, e in rows if scheme in (None, s) and c != q)
+        assert got[q] == [c for _, c in sims[:5]]
+
+
+def test_blocks_are_not_kept_on_the_driver(spark, monkeypatch):
+    """Of several blocks each result is stored: the plan has no search left in it."""
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 64)
+    rows = corpus(spark, [(f"c{k}", "s", [float(k), 1.0]) for k in range(8)])
+    found = retrieve.nearest(rows, rows.select(F.col("chunk_id").alias("query_id"), "embedding"), 2)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 16
+
+
 def test_no_questions_and_null_vectors(spark):
     rows = corpus(spark, [("a", "s", [1.0, 0.0]), ("b", "s", None)])
     none = spark.createDataFrame([], f"query_id int, scheme_id string, embedding {VEC}")
@@ -70,6 +96,24 @@ def test_alias_boundaries(spark):
     assert got == ["l", None, None, "s", None, None]
 
 
+@pytest.mark.parametrize("few", [256, 0])
+def test_aliases_folded_or_looked_up(spark, few):
+    """Patterns per scheme and the join by word say the same as a loop."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    words = ["large", "cap", "caps", "a+b", "é", "x_y", "tax", "fund", "\\E", "++", "Small"]
+    aliases = [(f"s{k % 9}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for k in range(60)] + [("n", None), (None, "cap")]
+    texts = [None, "", *("".join(rng.choice(words) + rng.choice([" ", " ", ".", "", "-"]) for _ in range(rng.randint(1, 6))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[5]])), "k int, query string")
+    got = {r.k: r.scheme_id for r in retrieve.resolve_scheme(df, spark.createDataFrame(aliases, "scheme_id string, alias string"), few=few).collect()}
+    assert len(got) == len(texts) + 1
+    for k, t in enumerate([*texts, texts[5]]):
+        hits = {s for s, a in aliases if s and a and re.search(r"(?<!\w)" + re.escape(a.lower()) + r"(?!\w)", (t or "").lower())}
+        assert got[k] == (hits.pop() if len(hits) == 1 else None), t
+
+
 def test_section_dedupe_and_threshold(spark):
     df = spark.createDataFrame([(1, 1, "x", "A", 0.9), (1, 2, "x", "B", 0.8), (1, 3, "y", "A", 0.25), (1, 4, "z", "A", 0.24)], "query_id int, rank int, section string, scheme_name string, similarity double")
     assert [r.rank for r in retrieve.best_of_section(df).orderBy("rank").collect()] == [1, 3, 4]
