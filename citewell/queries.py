@@ -280,13 +280,6 @@ def guard_golden(spark, d):
     return rows.select("query", "g.action", "g.reason", "g.matched_pattern", "g.confidence")
 
 
-@query()
-def guard_documents(spark, d):
-    """Every document as a question: a scan of all rules."""
-    rows = dealt(table(spark, d, "documents")).select("doc_id", guard.classify("text").alias("g"))
-    return rows.select("doc_id", "g.action", "g.matched_pattern", F.sha2("g.redacted_query", 256).alias("redacted"))
-
-
 @query(
     "SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+(?:\\.[a-zA-Z0-9_-]+)+'))::INT AS n_email FROM documents"
 )
@@ -413,44 +406,6 @@ def ingest_report(spark, d):
     )
 
 
-@query()
-def sectionize_pages(spark, d):
-    """Sections of every page: title, level, hash of the text, table flag."""
-    pages = table(spark, d, "pages").withColumn("error", F.lit(None).cast("string"))
-    rows = html.extract_pages(pages, "html", Settings(min_page_chars=100))
-    return rows.select("page_id", "extraction_mode", "error", F.explode_outer("sections").alias("s")).select(
-        "page_id", "extraction_mode", "error", "s.section_title", "s.heading_level", F.sha2("s.text", 256).alias("text_sha256"), "s.is_table", "s.order"
-    )
-
-
-@query()
-def chunk_small_merge(spark, d):
-    """Lines as sections, small ones merged."""
-    lines = F.transform(
-        text.split_lines("text"),
-        lambda x, i: F.struct(
-            F.concat(F.lit("L"), i.cast("string")).alias("section_title"), F.lit(2).alias("heading_level"), x.alias("text"),
-            F.lit(False).alias("is_table"), i.alias("order"),
-        ),
-    )
-    docs = dealt(table(spark, d, "documents")).select("doc_id", lines.alias("sections"))
-    merged = docs.select("doc_id", F.posexplode(chunking.merge_small_sections(F.col("sections"))).alias("at", "s"))
-    return merged.select("doc_id", "at", "s.section_title", "s.order", F.sha2("s.text", 256).alias("text_sha256"))
-
-
-@query()
-def chunk_pack(spark, d):
-    """Lines packed as a table would be."""
-    docs = dealt(table(spark, d, "documents")).select("doc_id", chunking.split_table(F.col("text"), F.lit(1800), F.lit(200)).alias("p"))
-    return docs.select("doc_id", F.posexplode("p").alias("at", "part")).select("doc_id", "at", F.sha2("part", 256).alias("part_sha256"))
-
-
-@query()
-def chunk_windows(spark, d):
-    """All chunks of all documents."""
-    return chunking.chunk_documents(built(spark, d)).select("chunk_id", "scheme_id", "chunk_index", "is_table", "content_sha256")
-
-
 @query(
     f"""
 WITH l AS (SELECT doc_id, string_split({sql_lines('text')}, {NEWLINE}) AS ls FROM documents),
@@ -494,14 +449,6 @@ def chunk_violations(spark, d):
     return chunking.violations(documents_as_chunks(spark, d))
 
 
-@query(
-    f"WITH {_CHUNK_SQL}, t AS (SELECT doc_id::VARCHAR AS scheme_id, ceil(length(embed_text) / 4)::INT AS n FROM e) "
-    "SELECT scheme_id, count(*) AS n_chunks, min(n) AS min_tokens, max(n) AS max_tokens, (sum(n) // count(*))::BIGINT AS mean_tokens FROM t GROUP BY scheme_id"
-)
-def chunk_reports(spark, d):
-    return chunking.chunk_report(documents_as_chunks(spark, d)).drop("n_tables")
-
-
 @query(
     f"WITH l AS (SELECT doc_id, string_split({sql_lines('text')}, {NEWLINE}) AS ls FROM documents) "
     "SELECT doc_id, unnest(range(0, len(ls)))::INT AS at, unnest(ls) AS line FROM l"
