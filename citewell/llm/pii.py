@@ -3,20 +3,27 @@
 Base matches (email, ip, card, phone) are the seeds. The words around them are
 lexical patterns; patterns and the identifiers they surround form a graph over the
 whole corpus. Rounds of joins score patterns by the share of their instances that
-are of one kind, and instances by the patterns they stand in. Patterns of high
-confidence and enough distinct seeds then find identifiers that no base pattern
-describes, wherever they stand.
+are of one kind, and instances by the patterns they stand in, until the scores
+settle. Instances found in one round support patterns in the next, so a pattern may
+be learned from found instances alone. Patterns of high confidence and enough
+distinct instances then find identifiers that no base pattern describes, wherever
+they stand.
 
-An identifier is a token of 6 to 64 characters with at least 3 digits. Patterns are
-the two words before it, or a label (a word that ends in ``:``, ``=`` or ``#``).
+An identifier is a token of 6 or more characters with at least 3 digits. Patterns are
+the two words before it, the two after it, the one on either side together, and a
+label before it (a word that ends in ``:``, ``=`` or ``#``).
 
 Defined results: a null text is empty; repeated rows each get their own result and
 count once in the graph, since it holds distinct instances; found spans never
-overlap base spans; a text of any length is scanned whole.
+overlap base spans; a text of any length is scanned whole, and words and identifiers
+of any length take part; an empty table gives an empty result; only doc_id and the
+text are read, so further columns may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +39,17 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 KINDS = tuple(PATTERNS)
 #: A whole word that holds a digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-SHORTEST, LONGEST, DIGITS = 6, 64, 3
-#: Code points on either side in which the context is looked for.
-NEAR = 64
+SHORTEST, DIGITS = 6, 3
+#: Words taken on either side.
+NEAR = 2
 
-#: Rounds of scoring, distinct seeds a pattern needs, and its least confidence.
-ROUNDS = 2
+#: Distinct instances of a kind that a pattern needs, and its least confidence.
 SUPPORT = 5
 CONFIDENCE = 0.8
+#: The score from which an instance counts as one of a kind.
+SURE = 0.7
+#: Scores that change by less have settled; rounds after which they are taken as they are.
+SETTLED, ROUNDS = 0.01, 20
 #: What an instance passes on of the score of the patterns it stands in.
 DAMPING = 0.9
 
@@ -84,18 +94,18 @@ def _of_kind(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def contexts(left: Column) -> Column:
-    """The patterns that the text before an identifier gives: keys ``2:a b`` for the
-    last two words and ``1:label`` for a label."""
-    words = F.regexp_extract_all(F.lower(left), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    last, before = F.get(words, n - 1), F.get(words, n - 2)
-    clean = lambda w: F.regexp_replace(w, r"[^\p{L}:=#]+", "")
-    two = F.concat(F.lit("2:"), clean(before), F.lit(" "), clean(last))
-    one = F.concat(F.lit("1:"), clean(last))
+def contexts(left: Column, right: Column) -> Column:
+    """The patterns around an identifier, from the words before it (nearest first) and
+    after it: ``<a b`` and ``>a b`` for two words on a side, ``|a b`` for one on each,
+    ``=a`` for a label."""
+    clean = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}:=#]+", "")
+    one, two, after, further = (clean(F.get(side, F.lit(k))) for side, k in ((left, 0), (left, 1), (right, 0), (right, 1)))
+    said = lambda *words: reduce(lambda x, y: x & y, [F.coalesce(w != "", F.lit(False)) for w in words])
     both = F.array(
-        F.when((n >= 2) & (clean(before) != "") & (clean(last) != ""), two),
-        F.when((n >= 1) & last.rlike(r"\p{L}.*[:=#]$"), one),
+        F.when(said(one, two), F.concat(F.lit("<"), two, F.lit(" "), one)),
+        F.when(said(after, further), F.concat(F.lit(">"), after, F.lit(" "), further)),
+        F.when(said(one, after), F.concat(F.lit("|"), one, F.lit(" "), after)),
+        F.when(one.rlike(r"\p{L}.*[:=#]$"), F.concat(F.lit("="), one)),
     )
     return F.filter(both, lambda p: p.isNotNull())
 
@@ -105,7 +115,7 @@ def _occurrences(spans: Column, kind: Column, instance) -> Column:
 
     def of(s: Column) -> Column:
         return F.transform(
-            contexts(s["left"]),
+            contexts(s["left"], s["right"]),
             lambda p: F.struct(
                 p.alias("pattern"), instance(s).alias("instance"), kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end")
             ),
@@ -129,7 +139,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     core = F.transform("token_spans", _core)
     free = F.filter(
         core,
-        lambda s: F.length(s["value"]).between(SHORTEST, LONGEST)
+        lambda s: (F.length(s["value"]) >= SHORTEST)
         & (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= DIGITS)
         & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
@@ -148,12 +158,13 @@ def _core(s: Column) -> Column:
         (start + F.length(value)).cast("bigint").alias("end"),
         value.alias("value"),
         s["left"].alias("left"),
+        s["right"].alias("right"),
     )
 
 
-def graph(scanned: DataFrame) -> DataFrame:
+def graph(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
     """pattern, instance, kind (of a seed, else null): distinct edges, of patterns
-    with enough distinct seeds."""
+    with enough distinct instances."""
     edges = (
         scanned.where(F.size("occurrences") > 0)
         .select(F.explode("occurrences").alias("o"))
@@ -161,47 +172,57 @@ def graph(scanned: DataFrame) -> DataFrame:
         .agg(F.max("o.kind").alias("kind"))
     )
     edges = durable(edges, "pii-edges")
-    rich = edges.groupBy("pattern").agg(F.count("kind").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    return durable(edges.join(rich.select("pattern"), "pattern"), "pii-graph")
-
-
-def patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, seeds, confidence: after rounds of scoring patterns by their
-    instances and instances by their patterns."""
-    # score of an instance for a kind: 1 for its seed's kind; found ones get one later
-    scores = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    scored = None
-    for k in range(rounds):
-        size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-        sums = (
-            edges.select("pattern", "instance")
-            .join(scores, "instance")
-            .groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        )
-        scored = sums.join(size, "pattern").select(
-            "pattern", "kind", "seeds", F.least(F.lit(1.0), F.col("sum") / F.col("size")).alias("confidence")
+    rich = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= support)
+    kept = durable(edges.join(rich, "pattern"), "pii-graph")
+    discard(edges)
+    return kept
+
+
+def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, kind, sure (instances surely of that kind) and confidence of the trusted
+    patterns, after rounds of scoring patterns by their instances and instances by
+    their patterns. Only trusted patterns pass scores on: those under ``confidence``
+    cannot lift one another above it."""
+    seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
+    unknown = edges.where("kind IS NULL").select("pattern", "instance")
+    scores, scored = seeds, None
+    for _ in range(rounds):
+        sums = edges.select("pattern", "size", "instance").join(scores, "instance").groupBy("pattern", "size", "kind")
+        sums = sums.agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= SURE).alias("sure"))
+        now = sums.where(F.col("sure") >= support).select(
+            "pattern", "kind", "sure", F.least(F.lit(1.0), F.col("sum") / F.col("size")).alias("confidence")
         )
-        scored = durable(scored.where(F.col("seeds") >= support), "pii-patterns")
-        if k + 1 < rounds:
-            unknown = edges.where("kind IS NULL").select("pattern", "instance")
-            good = scored.where(F.col("confidence") >= CONFIDENCE / 2).select("pattern", "kind", "confidence")
-            # An instance is of a kind unless every pattern it stands in errs.
-            errs = F.sum(F.log(1 - F.lit(DAMPING) * F.col("confidence")))
-            more = unknown.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(errs)).alias("score"))
-            scores = scores.unionByName(more)
+        now = durable(now.where(F.col("confidence") >= confidence), "pii-patterns")
+        changed = not now.isEmpty() if scored is None else _moved(scored, now)
+        if scored is not None:
+            discard(scored)
+        scored = now
+        if not changed:
+            break
+        # An instance is of a kind unless every pattern it stands in errs.
+        errs = F.sum(F.log(1 - F.lit(DAMPING) * F.col("confidence")))
+        found = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(errs)).alias("score"))
+        scores = seeds.unionByName(found)
     return scored
 
 
+def _moved(before: DataFrame, now: DataFrame) -> bool:
+    """Whether a pattern came, went, or changed its confidence."""
+    both = before.select("pattern", "kind", F.col("confidence").alias("was")).join(now, ["pattern", "kind"], "full_outer")
+    apart = F.abs(F.coalesce("was", F.lit(-1.0)) - F.coalesce("confidence", F.lit(-1.0))) > SETTLED
+    return not both.where(apart).isEmpty()
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, base and more (found spans), spans as structs of kind, start, end."""
     scanned = durable(scan(docs), "pii-scan")
     edges = graph(scanned)
-    trusted = patterns(edges).where(F.col("confidence") >= CONFIDENCE)
+    scored = patterns(edges)
     # Of several kinds a pattern could give, the likeliest.
-    trusted = trusted.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    trusted = scored.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     trusted = durable(trusted.select("pattern", F.concat(F.lit("like_"), "best.kind").alias("like")), "pii-trusted")
     discard(edges)
+    discard(scored)
     unknown = scanned.where(F.size("occurrences") > 0).select("row_id", F.explode("occurrences").alias("o"))
     unknown = unknown.where("o.kind IS NULL").select("row_id", "o.pattern", "o.start", "o.end")
     hits = unknown.join(trusted, "pattern")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,value:string,left:array<string>,right:array<string>>>"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -19,17 +19,27 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def nearest_words(piece: Column, n: int) -> Column:
+    """The first ``n`` words of a piece, fewer where it has fewer. Runs are taken
+    possessively from the start, so that only these words are read."""
+    lead = r"^[\x20\x09-\x0D]*+"
+    more = "".join(r"(?:[\x20\x09-\x0D]++([^\x20\x09-\x0D]++))?+" for _ in range(n - 1))
+    pattern = f"{lead}([^\\x20\\x09-\\x0D]++)?+{more}"
+    return F.filter(F.array(*(F.regexp_extract(piece, pattern, k + 1) for k in range(n))), lambda w: w != "")
+
+
 def placed(text: Column, matches: Column, pattern: str, near: int = 0) -> Column:
-    """``matches`` with their places, and up to ``near`` code points on either side.
+    """``matches`` with their places, and the ``near`` nearest words on either side, up
+    to the next match.
 
     ``matches`` must be a column of its own (not an expression), so that texts
     without a match are not scanned again.
     """
     pieces = F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"), F.lit("").alias("piece"))
-    side = lambda x, cut: cut(x) if near else F.lit("")
-    left = lambda p: F.call_function("right", p, F.lit(near))
-    right = lambda p: F.call_function("left", p, F.lit(near))
+    none = F.array().cast("array<string>")
+    left = lambda p: F.transform(nearest_words(F.reverse(p), near), lambda w: F.reverse(w)) if near else none
+    right = lambda p: nearest_words(p, near) if near else none
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -38,8 +48,8 @@ def placed(text: Column, matches: Column, pattern: str, near: int = 0) -> Column
             start.cast("bigint").alias("start"),
             end.cast("bigint").alias("end"),
             x["m"].alias("value"),
-            side(x["p"], left).alias("left"),
-            side(x["q"], right).alias("right"),
+            left(x["p"]).alias("left"),
+            right(x["q"]).alias("right"),
         )
         return F.struct(
             end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"), F.lit("").alias("piece")
