@@ -13,7 +13,9 @@ found at its place.
 
 Defined results: a null text is empty; a null owner is one owner; repeated rows
 count as one repository but each get their own result; overlapping spans of
-different kinds all stay.
+different kinds all stay; a text of any length is scanned whole; an empty table gives
+an empty result; only doc_id, the owner and the text are read (``redact_documents``
+hands all columns on), so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -155,12 +157,13 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by.select("hash", "words", "n_occurrences", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
-def runs(scanned: DataFrame, words: DataFrame) -> DataFrame:
+def runs(scanned: DataFrame, sizes: list[int]) -> DataFrame:
     """row_id, base and t (a candidate) for every run of a token's words that may be
-    a live value: of a number of words in ``words``, with a digit and a letter, and
+    a live value: of a number of words in ``sizes``, with a digit and a letter, and
     with the punctuation around it as long as a value."""
     tokens = scanned.where(F.size("tokens") > 0).select("row_id", "base", F.explode("tokens").alias("p"))
-    tokens = tokens.join(F.broadcast(words.select(F.col("words").alias("_k"))), F.size("p") >= F.col("_k"))
+    every = F.array(*map(F.lit, sizes)).cast("array<int>")
+    tokens = tokens.withColumn("_k", F.explode(F.filter(every, lambda k: k <= F.size("p"))))
 
     def one(i: Column) -> Column:
         return F.transform(F.array(F.slice("p", i, F.col("_k"))), run)
@@ -190,8 +193,9 @@ def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     covered = F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
     span = ("start", "rank", "kind", "end", "hash")
     base = scanned.select("row_id", F.explode("base").alias("t")).select("row_id", *(f"t.{c}" for c in span))
-    words = known.where("verdict = 'live' AND words > 0").select("words").distinct()
-    tokens = runs(scanned, words).where(~covered).select("row_id", *(f"t.{c}" for c in span))
+    # How many words live values have: a few small numbers, each once.
+    sizes = sorted(r.words for r in known.where("verdict = 'live' AND words > 0").select("words").distinct().collect())
+    tokens = runs(scanned, sizes).where(~covered).select("row_id", *(f"t.{c}" for c in span))
     judged = base.unionByName(tokens).join(known.select("hash", "verdict"), "hash")
     is_copy, live = F.col("rank") == KINDS.index("copy"), F.col("verdict") == "live"
     place = F.struct("start", "rank", "kind", "end")
