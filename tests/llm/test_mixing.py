@@ -68,6 +68,25 @@ def test_repeated_rows_share_the_cut(docs):
         assert words == sum(r.taken for r in mixed if r.source == s) == round(next(r.target for r in mixed if r.source == s))
 
 
+def test_rows_at_the_cut_go_in_order_of_their_other_columns(docs):
+    """The same in any partitioning: rows that share the key but not all columns."""
+    rows = [(1, "a b c d e", lang, "x") for lang in "zyxwv" * 3] + [(2, "q " * 30, "en", "y")]
+    key = lambda df: sorted((r.doc_id, r.lang, r.text, r.n_chars) for r in df.collect())
+    first = key(mixing.mix_documents(docs(rows)))
+    for n in (1, 4):
+        assert key(mixing.mix_documents(docs(rows[::-1]).repartition(n))) == first
+    mixed = mixing.mix(durable(mixing.sizes(docs(rows)), "t")).collect()
+    assert sum(len(t.split()) for i, _, t, _ in first if i == 1) == sum(r.taken for r in mixed if r.doc_id == 1)
+
+
+def test_very_long_texts(docs):
+    rows = [(1, "w " * 200000, "en", "x"), (2, "v" * 1000000 + " u", "en", "x"), (3, "t " * 70000, "en", "y")]
+    mixed = {r.doc_id: r for r in mixing.mix(durable(mixing.sizes(docs(rows)), "t")).collect()}
+    assert [mixed[k].size for k in (1, 2, 3)] == [200000, 2, 70000]
+    out = mixing.mix_documents(docs(rows)).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n"))
+    assert {r.source: r.n for r in out.collect()} == {s: sum(r.taken for r in mixed.values() if r.source == s) for s in "xy"}
+
+
 def test_odd_rows(odd):
     assert mixing.mix(durable(mixing.sizes(odd), "t")).count() == odd.count()
     assert mixing.mix(durable(mixing.sizes(odd.limit(0)), "t")).isEmpty()

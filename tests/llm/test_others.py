@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 import io
+import math
 import random
+import re
 import struct
 import wave
 import zlib
@@ -60,6 +62,54 @@ def test_longest_prefix_of_a_character_map():
     assert origin.tolist() == [0, 0, 0, 0, 1, 4, 4, 4, 5, 5, 7]
 
 
+def mapped_model():
+    """The model with a public character map (compatibility forms, as the library has it)."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    norm = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    own = sentencepiece_model_pb2.ModelProto.FromString(norm.serialized_model_proto())
+    with open(pieces.default_model(), "rb") as f:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = own.normalizer_spec.precompiled_charsmap
+    return proto
+
+
+@pytest.mark.parametrize("squeeze, prefix", [(True, True), (False, True), (True, False), (False, False)])
+def test_character_map_against_the_library(tmp_path, squeeze, prefix):
+    """Normalised text, ids and every piece's place, with a model that maps characters."""
+    proto = mapped_model()
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = squeeze, prefix
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    p = pieces.Pieces(str(path))
+    assert len(p.map.units) > 1000
+    rng = random.Random(15)
+    alphabet = ["a", "b", " ", "  ", "\t", "\n", "ﬁ", "①", "Ａ", "ガ", "ｶﾞ", "é", "e\u0301", "½", "㎏", "\u3000", "\u200b", "\x07", "😀", "日", "한", "ſ", "…", "▁", "\xa0", "\ufeff"]
+    texts = ["", " ", "ﬁ ①Ａ ｶﾞ", *("".join(rng.choices(alphabet, k=rng.randint(1, 25))) for _ in range(600))]
+    for t in texts:
+        out, origin = p.normalised(t)
+        assert out.decode() == p.library.normalize(t), t
+        assert len(origin) == len(out) + 1 and all(a <= b for a, b in zip(origin, origin[1:]))
+        ids = np.array(p.library.encode(t, add_bos=True, add_eos=True), dtype=np.int64)
+        begin, end = p.spans(t, ids)
+        chars = len(t.encode())
+        assert begin[0] == end[0] and begin[-1] == end[-1] and (begin <= end).all() and end.max(initial=0) <= chars
+        # The library gives places too; only how the bytes of one character share theirs differs.
+        theirs = [(x.begin, x.end) for x in p.library.encode(t, return_type="proto").pieces if not p.library.is_byte(x.id)]
+        ours = [(int(a), int(b)) for i, a, b in zip(ids[1:-1], begin[1:-1], end[1:-1], strict=True) if not p.library.is_byte(int(i))]
+        assert ours == theirs, t
+
+
+def test_pieces_odd_rows(odd):
+    clashing = odd.withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    got = pieces.encode(clashing)
+    assert got.columns == ["doc_id", "ids", "begins", "ends", "decoded"] and got.count() == odd.count()
+    assert len({tuple(r.ids) for r in got.where("doc_id = 4").collect()}) == 1
+    assert [r.ids for r in got.where("doc_id IN (1, 2)").collect()] == [[1, 2]] * 2
+    assert pieces.encode(odd.limit(0)).isEmpty()
+
+
 # Media -----------------------------------------------------------------------------
 
 
@@ -129,6 +179,78 @@ def test_ends_of_nested_and_updated_files():
     assert media.sniff(loose + b"tail") == [(kind, 0, len(loose))]
 
 
+def plain_sniff(data):
+    """Each format tried at each place of its magic bytes, by a plain search."""
+    out = []
+    for kind, magic, valid in media.FORMATS:
+        at = data.find(magic)
+        while at >= 0:
+            media.marks.cache_clear()
+            if (end := valid(data, at)) is not None:
+                out.append((kind, at, end))
+            at = data.find(magic, at + 1)
+    return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
+
+
+def test_carving_mixed_content_against_what_was_put_in(spark):
+    """Files of many formats between noise: carved where they were put, as they were."""
+    import zipfile
+
+    rng = random.Random(13)
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "x" * 50)
+    pdf = b"%PDF-1.4\n1 0 obj endobj\nxref\n0 0\ntrailer\nstartxref\n25\n%%EOF"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02scan\xff\xd9"
+    kinds = {"image/png": png(), "application/zip": z.getvalue(), "application/pdf": pdf, "image/jpeg": jpeg, "audio/wav": media.stored(b"s" * 64), "application/gzip": gzip.compress(b"y" * 50)}
+    rows, want = [], {}
+    for k in range(60):
+        data, put = b"", []
+        for _ in range(rng.randint(0, 5)):
+            data += bytes(rng.choices(b"abc \n\x00RIFPKBM%", k=rng.randint(0, 40)))
+            kind = rng.choice(list(kinds))
+            put.append((kind, len(data), len(data) + len(kinds[kind])))
+            data += kinds[kind]
+        rows.append((k, rng.choice(list(kinds)), bytearray(data)))
+        want[k] = put
+        assert media.sniff(data) == plain_sniff(data)
+    for r in media.inspect(spark.createDataFrame(rows, "id int, declared string, content binary")).collect():
+        data, put = bytes(rows[r.id][2]), want[r.id]
+        got = [(e.type, e.start, e.end) for e in r.embedded]
+        assert [p for p in put if p[1]] == got and all(bytes(e.content) == data[e.start : e.end] for e in r.embedded)
+        assert r.detected == next((p[0] for p in put if p[1] == 0), media.UNKNOWN) and r.corrected == (r.detected != rows[r.id][1])
+
+
+def test_many_headers_take_one_search():
+    import time
+
+    for piece in (b"%PDF-1.4 ", b"PK\x03\x04" + b"\0" * 30, b"\xff\xd8\xff\xda\x00\x02", b"startxref 1 %%EOF ", b"GIF89a"):
+        began = time.monotonic()
+        media.sniff(piece * 60000)
+        assert time.monotonic() - began < 20, piece
+
+
+def test_feature_against_loops(docs, odd):
+    """Every field of the feature, from the text alone."""
+    rng = random.Random(14)
+    texts = ["", "a", "é" * 32, "RIFF....WAVE", "%PDF-1.4 startxref 5 %%EOF", *("".join(rng.choices("abé😀 \n%PDF-1", k=rng.randint(0, 200))) for _ in range(40))]
+    for r in media.digest(docs(list(enumerate(texts)) + [(0, "")])).collect():
+        data = texts[r.doc_id].encode()
+        payload = list(data) + [0] * (-len(data) % 64 or 64 * (not data))
+        fields = dict(f.split("=", 1) for f in r.feature.split(";"))
+        head = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little")
+        head += b"".join(x.to_bytes(n, "little") for x, n in ((1, 2), (1, 2), (8000, 4), (8000, 4), (1, 2), (8, 2)))
+        whole = head + b"data" + len(payload).to_bytes(4, "little") + bytes(payload)
+        inside = ",".join(f"{t}@{a}-{e}" for t, a, e in plain_sniff(whole) if a)
+        assert fields == {
+            "type": "audio/wav", "samples": str(len(payload)), "sum": str(sum(payload)), "squares": str(sum(x * x for x in payload)),
+            "values": str(len(set(payload))), "inside": inside,
+        }
+        assert (r.media_bytes, r.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+    clashing = odd.withColumn("feature", F.lit(1)).withColumn("n_bytes", F.lit("x"))
+    assert media.digest(clashing).where("feature = '1'").isEmpty()
+
+
 def test_media_digest(docs, odd):
     texts = ["", "a", "é" * 32, "x" * 64, "y" * 65]
     for r in media.digest(docs(list(enumerate(texts)))).collect():
@@ -142,16 +264,79 @@ def test_media_digest(docs, odd):
 # Languages ---------------------------------------------------------------------------
 
 
-def test_small_languages_keep_their_words_under_the_bound(docs):
+def plain_predictor(rows, longest=4, floor=0.5):
+    """Dictionaries and loops over (lang, text): what the model must say."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts, totals = {}, {}
+    for lang, text in rows:
+        for w in words(text):
+            m = f"<{w}>"
+            for term in [(0, w)] + [(n, m[k : k + n]) for n in range(1, longest + 1) for k in range(len(m) - n + 1)]:
+                counts.setdefault(term, {}).setdefault(lang, 0)
+                counts[term][lang] += 1
+                totals[lang, term[0]] = totals.get((lang, term[0]), 0) + 1
+    langs = sorted({g for g, _ in rows})
+
+    def logs(term):
+        return [math.log((counts[term].get(g, 0) + floor) / (totals.get((g, term[0]), 0) + 1)) for g in langs]
+
+    def predict(text):
+        found = words(text or "")
+        if not found or not langs:
+            return "und", 0.0
+        total = [0.0] * len(langs)
+        for w in found:
+            m, rows = f"<{w}>", [logs((0, w))] if (0, w) in counts else []
+            if not rows:
+                for k in range(len(m)):
+                    best = next((n for n in range(longest, 0, -1) if k + n <= len(m) and (n, m[k : k + n]) in counts), None)
+                    rows += [logs((best, m[k : k + best]))] if best else []
+            for j in range(len(langs)):
+                total[j] += sum(r[j] for r in rows) / max(len(rows), 1)
+        top = max(total)
+        return langs[total.index(top)], 1 / sum(math.exp(max(t - top, -700)) for t in total)
+
+    return predict
+
+
+def test_predictions_against_dictionaries(docs, monkeypatch):
+    """Every word and n-gram of the sample counts; also when little is remembered."""
     rng = random.Random(5)
-    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(50)]
-    rows = [(k, " ".join(rng.choices(words, k=30)), "big", "s") for k in range(200)]
-    rows += [(1000 + k, "zupqil vexjom", "small", "s") for k in range(3)]
-    model = langid.fit(docs(rows), most_terms=200)
-    assert {"zupqil", "vexjom"} <= set(model.words) and len(model.words) + len(model.grams) <= 200
+    rows = []
+    for k in range(150):
+        g = rng.choice(["aa", "bb", "cc", None])
+        rows.append((k, " ".join("".join(rng.choices("abcdeéß"[: 4 + 3 * (g == "cc")], k=rng.randint(1, 6))) for _ in range(rng.randint(0, 12))), g, "s"))
+    rows += [(1000 + k, "zupqil vexjom", "small", "s") for k in range(3)] + [(2000, None, "aa"), (2001, "aaaa Aab! 12 _b\u00adc"), (2002, "日本語 ǅ")]
+    plain = plain_predictor([(g, t) for _, t, g, *_ in [(*r, "en") for r in rows] if g is not None and t is not None])
+    for cached in (1 << 17, 7):
+        monkeypatch.setattr(langid, "CACHED", cached)
+        model = langid.fit(docs(rows))
+        for _, t, *_ in rows:
+            (lang, score), (want, p) = model.predict(t), plain(t)
+            assert abs(score - p) < 1e-5 and (lang == want or abs(p - 0.5) < 1e-5), t
     assert model.predict("zupqil")[0] == "small"
 
 
+def test_sample_is_drawn_before_it_is_joined(docs):
+    rows = [(k, f"text {k}", "en" if k % 10 else "fr", "s") for k in range(4000)]
+    for many in (100, 0):
+        n = dict(langid.sample(docs(rows).select("doc_id", "lang", "text"), 600, many).groupBy("lang").count().collect())
+        assert n["fr"] == 400 and 450 < n["en"] < 750
+    plan = langid.sample(docs(rows).select("doc_id", "lang", "text"), 600)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_language_odd_rows(odd):
+    clashing = odd.withColumn("score", F.lit(1)).withColumn("share", F.lit("x")).withColumn("_lang", F.lit("y")).withColumn("n", F.lit(2))
+    model = langid.fit(clashing)
+    got = langid.predict(clashing, model)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == odd.count()
+    again = [(r.lang_pred, r.score) for r in got.where("doc_id = 4").collect()]
+    assert len(again) == 2 and again[0] == again[1]
+    assert {r.lang_pred for r in got.where("doc_id IN (1, 2, 5)").collect()} == {"und"}
+    assert got.where("doc_id = 3").first().score > 0 and langid.predict(odd.limit(0), model).isEmpty()
+
+
 def test_held_out_accuracy(docs):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "mo", "ti"], "bb": ["schu", "gen", "ber"], "cc": ["é", "eau", "que"]}
@@ -165,12 +350,20 @@ def test_held_out_accuracy(docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def model_of(langs, totals, terms):
+    """From counts by (kind, term) and language."""
+    flat = [(langid.hash_of(*t), t[0], langs.index(g), n) for t, by in terms.items() for g, n in by.items()]
+    h, k, w, n = zip(*flat, strict=True)
+    return langid.Model(langs, np.array(totals, dtype=float), np.array(h, np.uint64), np.array(k), np.array(w), np.array(n))
+
+
 def test_word_first_then_longest_ngram():
-    totals = {(g, k): 10 for g in "ab" for k in range(5)}
-    m = langid.Model(["a", "b"], totals, {(0, "cat"): {"a": 5}, (1, "c"): {"a": 1}, (3, "<ca"): {"b": 9}, (2, "at"): {"b": 9}})
-    assert m.rows("cat") == (m.words["cat"],)
-    assert m.rows("cab") == (m.grams["<ca"], m.grams["c"]) or m.grams["<ca"] in m.rows("cab")
+    terms = {(0, "cat"): {"a": 5}, (1, "c"): {"a": 1}, (3, "<ca"): {"b": 9}, (2, "at"): {"b": 9}}
+    m = model_of(["a", "b"], [[10, 10]] * 5, terms)
+    rows = dict(zip(terms, m.place(list(terms)).tolist(), strict=True))
+    assert m.longest(["<cab", "cab>", "ab>", "b>", ">"]).tolist() == [rows[3, "<ca"], rows[1, "c"], -1, -1, -1]
     assert m.predict("cat")[0] == "a" and m.predict("catty")[0] == "b"
+    assert m.predict("xyz") == ("a", 0.5)
 
 
 def test_nothing_learned(docs):
@@ -182,32 +375,105 @@ def test_nothing_learned(docs):
 # Urls ----------------------------------------------------------------------------------
 
 
-def plain_verdict(url):
-    rules = (*urlfilter.FIXED, *urlfilter.METHOD)
-    import re
-
+def fits(line, url):
+    """A rule of a filter list, held against a url by walking both."""
+    case = "$match-case" in line
+    body = re.sub(r"\$[a-z,-]+$", "", line.removeprefix("@@"))
+    head, _, rest = url.partition("://")
+    host = re.match("[^/?#]*", rest)[0]
+    low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    text = head + "://" + low(host) + rest[len(host) :]
+    if len(body) > 2 and body[0] == body[-1] == "/":
+        return re.search(body[1:-1], text, re.S | (0 if case else re.I | re.A)) is not None
+    if not case:
+        text, body = low(text), low(body)
+    first = len(head) + 3
+    if body.startswith("||"):
+        body, starts = body[2:], [first] + [first + k + 1 for k, c in enumerate(host) if c == "."]
+    elif body.startswith("|"):
+        body, starts = body[1:], [0]
+    else:
+        starts = range(len(text) + 1)
+    ends = body.endswith("|")
+    body = body.removesuffix("|")
+    at = set(starts)
+    for c in body:
+        if c == "*":
+            at = set(range(min(at), len(text) + 1)) if at else at
+        elif c == "^":
+            at = {k + 1 for k in at if k < len(text) and not re.match("[A-Za-z0-9_.%-]", text[k])} | {k for k in at if k == len(text)}
+        else:
+            at = {k + 1 for k in at if k < len(text) and text[k] == c}
+    return len(text) in at if ends else bool(at)
+
+
+def plain_verdict(url, method=urlfilter.METHOD, fit=fits):
     host, path = urlfilter.split_url(url)
-    fits = [(a, h + p) for a, h, p in urlfilter.PREFIXES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    rule = max(fits, key=lambda x: len(x[1]), default=None)
-    own = [r for r in rules[len(urlfilter.FIXED) :] if url and re.search(r.pattern, urlfilter.lowered(url))]
-    return host, path, rule and rule[1], rule[0] if rule else "block" if own else "allow"
+    good = [(a, h + p) for a, h, p in urlfilter.PREFIXES if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    rule = max(good, key=lambda x: len(x[1]), default=None)
+    own = [r for r in method if url and "://" in url and fit(r.text, url)]
+    kinds = [[r for r in own if r.action == "block" and r.important], [r for r in own if r.action == "allow"], own]
+    best = next((sorted(k, key=lambda r: (-len(r.name), r.name))[0] for k in kinds if k), None)
+    return host, path, rule and rule[1], rule[0] if rule else best.action if best else "allow", best and best.name
+
 
+def random_urls(rng, n):
+    parts = ["http", "https", "://", "://", "x", ".", "com", "net", "org", "example", "/", "/en/", "/de/", "/es/", "7", "8", "?", "#", ":", "cheap-pills", "casino", "-", "help", "Ads", "/ads/", "popup_id=", "A", "EN", "é", "@", "ſ", "K"]
+    return ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(n)]
 
-def test_rules_against_loop(spark):
+
+def test_rules_against_every_rule_on_every_url(spark):
+    """Generated lists of thousands of rules: the index must find what running all does."""
     rng = random.Random(11)
-    parts = ["http", "https", "://", "://", "x", ".", "com", "net", "org", "example", "/", "/en/", "/de/", "/es/", "7", "8", "?", "#", ":", "cheap-pills", "casino-win", "A", "EN", "é", "-", "@"]
-    urls = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(4000)]
-    urls += [None, "", "com/en/", "http://com/en/", "http://xcom/en/", "HTTP://A.Example.COM/en/78?x", "http://a.example.net/de/8", "http://a.net/de/8", "a:b://c.org/es/", "http://www.cheap-pills.example.com/fr/1", "http://xcheap-pills.com/"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit("mine"))
-    got = {r.page_id: r for r in urlfilter.judge(df).collect()}
-    wrong = [(u, got[k], plain_verdict(u)) for k, u in enumerate(urls) if (got[k].host, got[k].path, got[k].rule, got[k].verdict) != plain_verdict(u)]
+    pieces = ["a", "b", "ad", "x1", "com", "example", "net", "/", ".", "-", "*", "^", "?", "=", "/en/", "Q", "_"]
+    lines = ["! comment", "[Header]", "", "example.com##.ad"]
+    for _ in range(3000):
+        body = "".join(rng.choices(pieces, k=rng.randint(2, 6)))
+        if not body.strip("*|^") or (body[0] == body[-1] == "/"):
+            continue
+        line = rng.choice(["", "", "||", "||", "|"]) + body + rng.choice(["", "", "^", "|"])
+        lines.append(rng.choice(["", "", "", "@@"]) + line + rng.choice(["", "", "$match-case", "$important"]))
+    lines += ["/ad[0-9]+x/", "@@/B$/$match-case"]
+    method = urlfilter.parse_list("\n".join(lines))
+    assert len(method) > 1500
+    urls = ["".join(rng.choices([*pieces, "://", "http", "7"], k=rng.randint(3, 16))) for _ in range(150)] + random_urls(rng, 50)
+    urls = [u if "://" in u else "http://" + u for u in urls]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: r for r in urlfilter.judge(df, method=method).collect()}
+    wrong = [(u, got[k], want) for k, u in enumerate(urls) if tuple(got[k][1:]) != (want := plain_verdict(u, method))]
     assert wrong == []
+
+
+def test_default_rules_against_loop(spark):
+    rng = random.Random(12)
+    urls = random_urls(rng, 400)
+    urls += [None, "", "com/en/", "http://com/en/", "http://xcom/en/", "HTTP://A.Example.COM/en/78?x", "http://a.example.net/de/8", "http://a.net/de/8", "a:b://c.org/es/", "http://www.cheap-pills.example.com/fr/1", "http://xcheap-pills.com/", "http://casino-help.net/x", "http://h.de/" + "a/" * 30000 + "ads/x"]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(9, urls[9])], "page_id bigint, url string").withColumn("host", F.lit("mine")).withColumn("token", F.lit(1))
+    rows = urlfilter.judge(df).collect()
+    got = {r.page_id: r for r in rows}
+    # Only rules that share a letter run with the url can fit; all the others are left out here.
+    wrong = [(u, got[k], want) for k, u in enumerate(urls) if tuple(got[k][1:]) != (want := plain_verdict(u, fit=lambda r, u: urlfilter.compiled(by[r]).search(urlfilter.lowered(u)) is not None))]
+    assert wrong == [] and len(rows) == len(urls) + 1
     assert urlfilter.judge(df.limit(0)).isEmpty()
 
 
+by = {r.text: r for r in urlfilter.METHOD}
+
+
+def test_tokens_are_whole_in_every_match():
+    tokens = lambda line: urlfilter.parse_rule(line).tokens
+    assert tokens("||cheap-pills.") == ("cheap", "pills") and tokens("||ads") == () and tokens("||ads^") == ("ads",)
+    assert tokens("/ads/*") == ("ads",) and tokens("ads/x*y/z|") == ("z",) and tokens("|http://a*b.c") == ("http", "b")[:1]
+    assert tokens("/ad[0-9]/") == () and tokens("^Id=") == ("id",)
+    with pytest.raises(ValueError):
+        urlfilter.parse_rule("||a.com^$third-party")
+    with pytest.raises(ValueError):
+        urlfilter.parse_rule("*")
+
+
 def test_rules_are_filed_under_their_rarest_token():
     index = urlfilter.Index(urlfilter.FIXED, {"com": 100, "en": 50, "net": 3, "de": 9, "example": 70, "org": 1, "es": 1})
-    filed = {index.rules[k].name: t for t, rules in index.by_token.items() for k, _ in rules}
+    filed = {index.rules[k].name: t for t, rules in index.by_token.items() for k in rules}
     assert filed == {"com/en/": "en", "example.com/en/7": "en", "net/de/": "net", "example.net/de/8": "net", "org/es/": "es"}
 
 
@@ -245,6 +511,22 @@ def test_snapshots_against_loop(spark, seed):
     assert {r.conv_id: (r.n_turns, r.n_equal) for r in chat.format_conversations(df).collect()} == want
 
 
+def test_turns_without_a_conversation(spark):
+    """Each is a conversation of one turn: rendered once, and gone where it begins another."""
+    rows = [(None, k, "user", f"t{k % 3}") for k in range(30)] + [(7, 0, "user", "t0"), (7, 1, "bot", "x"), (8, 0, "user", "t1"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("h1", F.lit(1)).withColumn("sha", F.lit("s"))
+    got = sorted(((r.conv_id or 0), r.n_turns, r.n_equal, r.rendered) for r in chat.format_conversations(df).collect())
+    one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert got == [(0, 1, 1, one("unknown", "")), (0, 1, 10, one("user", "t2")), (7, 2, 1, one("user", "t0") + one("bot", "x")), (8, 1, 11, one("user", "t1"))]
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, k, "user" if k % 2 else "bot", f"turn {k}") for k in range(3000)] + [(2, k, "user" if k % 2 else "bot", f"turn {k}") for k in range(2999)]
+    rows += [(3, 0, "user", "y" * 500000)]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert set(got) == {1, 3} and got[1].n_turns == 3000 and got[1].rendered.count("<|im_end|>") == 3000 and len(got[3].rendered) > 500000
+
+
 # Durable tables ---------------------------------------------------------------------------
 
 
