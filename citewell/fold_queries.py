@@ -292,8 +292,32 @@ g AS (SELECT doc_id, redacted, coalesce(pii, advice, perf) AS matched_pattern,
 """
 
 
-@query(f"WITH {_ASKED} SELECT doc_id, action, matched_pattern, sha256(redacted) AS redacted FROM g")
+@query(
+    f"""
+WITH {_ASKED}
+SELECT doc_id, action, matched_pattern, sha256(redacted) AS redacted,
+  CASE action WHEN 'refuse_pii' THEN 'pii_detected' WHEN 'refuse_advice' THEN 'advice_detected' WHEN 'refuse_performance' THEN 'performance_detected' ELSE 'in_scope' END AS reason,
+  CASE action WHEN 'refuse_pii' THEN 1.0 WHEN 'answer' THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM g
+"""
+)
 def guard_documents(spark, d):
     """Every document after a question: a scan of all rules."""
     rows = asked_documents(spark, d).select("doc_id", guard.classify("query").alias("g"))
-    return rows.select("doc_id", "g.action", "g.matched_pattern", F.sha2("g.redacted_query", 256).alias("redacted"))
+    return rows.select("doc_id", "g.action", "g.matched_pattern", F.sha2("g.redacted_query", 256).alias("redacted"), "g.reason", "g.confidence")
+
+
+_COUNTED = ", ".join(f"['{k}', (len(string_split(redacted, '[REDACTED:{k}]')) - 1)::VARCHAR]" for k, *_ in _KINDS)
+
+
+@query(
+    f"""
+WITH {_ASKED}, n AS (SELECT doc_id, unnest([{_COUNTED}]) AS kn FROM x)
+SELECT doc_id, kn[1] AS kind, kn[2]::BIGINT AS n, true AS placed FROM n WHERE kn[2] <> '0'
+"""
+)
+def pii_spans(spark, d):
+    """Spans of all kinds, those of earlier kinds first: how many, and whether each value
+    stands at its place. The SQL counts what redaction, kind by kind, has put in."""
+    rows = asked_documents(spark, d).select("doc_id", "query", F.explode(guard.pii_matches("query")).alias("m"))
+    here = F.substr("query", F.col("m.start").cast("int") + 1, (F.col("m.end") - F.col("m.start")).cast("int")) == F.col("m.value")
+    return rows.groupBy("doc_id", F.col("m.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(here).alias("placed"))

@@ -1,7 +1,10 @@
 """Registered queries of the engine, each with the SQL that DuckDB can run instead.
 
 Queries take (spark, sf_dir) and read whole tables. Their SQL is written apart from
-the operators, against the definition and not the code.
+the operators, against the definition and not the code; only fixed values of the
+definition (abbreviations, tracking keys, stop words, the pattern of figures) are
+taken from where they stand. More queries are in ``fold_queries`` and ``wide_queries``;
+small cases with known results, for the tests, are at their subjects here.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewell.config import Settings
-from citewell.functions import guard, text
+from citewell.functions import text
 from citewell.operators import chunking, enforce, generate, retrieve, sections, sessions, store
 from citewell.operators.encode import encode
 from citewell.plans import answer as answers
 from citewell.plans import evaluate, ingest
-from citewell.sources import html, tables
+from citewell.sources import tables
 from citewell.streaming.sessions import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,28 +209,6 @@ def context_headers(spark, d):
     )
 
 
-_FIGURES = "('Rating'), ('4'), ('+5.2%'), ('₹ 1,200'), ('Rs. 500'), ('12 months'), ('Exit load 1%'), (''), ('Cr 1,23,456.5'), ('7')"
-
-
-@query(
-    f"""
-SELECT x, NOT regexp_matches(x, '\\d') AS bare_label,
-  trim(x) <> '' AND NOT contains(replace(replace(replace(trim(x), '₹', ''), 'Rs.', ''), 'rs.', ''), ' ')
-    AND regexp_matches(trim(x), '(?i)^(?:[+-]|₹|rs\\.?)?\\s*[\\d,]+(?:\\.\\d+)?\\s*%?$') AS value_only,
-  TRY_CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE) AS amount,
-  'Last updated from sources: ' || coalesce(nullif(x, ''), 'unknown') AS stamp
-FROM (VALUES {_FIGURES}) AS v(x)
-"""
-)
-def line_shapes(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {_FIGURES} AS v(x)")
-    x = F.col("x")
-    return rows.select(
-        "x", text.is_bare_label(x).alias("bare_label"), text.is_value_only(x).alias("value_only"), text.amount(x).alias("amount"),
-        text.freshness_line(F.nullif(x, F.lit(""))).alias("stamp"),
-    )
-
-
 # Guard -------------------------------------------------------------------------------
 
 #: Question, action, pattern: what the guard must say.
@@ -258,59 +239,10 @@ GOLDEN = (
     ("How do I get my account statement?", "answer", None),
     ("", "answer", None),
 )
-REASONS = {"refuse_pii": "pii_detected", "refuse_advice": "advice_detected", "refuse_performance": "performance_detected", "answer": "in_scope"}
-CONFIDENCE = {"refuse_pii": 1.0, "refuse_advice": 0.9, "refuse_performance": 0.9, "answer": 0.6}
-
-
-def _quoted(x) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
-
-
-@query(
-    "SELECT query, action, reason, matched_pattern, confidence::DOUBLE AS confidence FROM (VALUES "
-    + _values((q, a, "empty_query" if not q else REASONS[a], p, CONFIDENCE[a]) for q, a, p in GOLDEN)
-    + ") AS v(query, action, reason, matched_pattern, confidence)"
-)
-def guard_golden(spark, d):
-    rows = spark.createDataFrame([(q,) for q, _, _ in GOLDEN], "query string").withColumn("g", guard.classify("query"))
-    return rows.select("query", "g.action", "g.reason", "g.matched_pattern", "g.confidence")
-
-
-@query(
-    "SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+(?:\\.[a-zA-Z0-9_-]+)+'))::INT AS n_email FROM documents"
-)
-def pii_emails(spark, d):
-    hits = F.filter(guard.pii_matches("text"), lambda m: m["kind"] == "EMAIL")
-    return dealt(table(spark, d, "documents")).select("doc_id", F.size(hits).alias("n_email"))
-
-
 ALIASES = (
     ("large", "large cap"), ("large", "largecap"), ("flexi", "flexi cap"), ("flexi", "equity fund"), ("tax", "tax saver"),
     ("small", "small cap"), ("balanced", "balanced advantage"),
 )
-NAMING = (
-    "What is the expense ratio of the Large Cap fund?", "compare large cap and small cap", "the LARGECAP load", "enlarge capital",
-    "what is the benchmark", "", "equity fund or flexi cap", "tax savers", "is tax saver locked?",
-)
-
-
-@query(
-    f"""
-WITH q AS (SELECT * FROM (VALUES {_values((k, x) for k, x in enumerate(NAMING))}) AS v(query_id, query)),
-a AS (SELECT * FROM (VALUES {_values(ALIASES)}) AS v(scheme_id, alias)),
-h AS (SELECT DISTINCT query_id, scheme_id FROM q, a WHERE regexp_matches(lower(query), '(^|[^a-z0-9_])' || alias || '($|[^a-z0-9_])'))
-SELECT q.query_id::BIGINT AS query_id, q.query, CASE WHEN count(scheme_id) = 1 THEN min(scheme_id) END AS scheme_id
-FROM q LEFT JOIN h USING (query_id) GROUP BY ALL
-"""
-)
-def alias_resolution(spark, d):
-    rows = spark.createDataFrame(list(enumerate(NAMING)), "query_id bigint, query string")
-    return retrieve.resolve_scheme(rows, spark.createDataFrame(ALIASES, "scheme_id string, alias string"))
-
 
 # Sections and chunks --------------------------------------------------------------------
 
@@ -381,19 +313,6 @@ def repair_input(spark) -> DataFrame:
     return rows.select("scheme_id", *(F.lit("x").alias(n) for n in names), F.array(part("a", 0), part("b", 1), part("c", 2)).alias("sections"))
 
 
-@query("SELECT * FROM (VALUES " + _values((r[0], r[4], r[3] != r[4]) for r in REPAIRS).replace("True", "true").replace("False", "false") + ") AS v(scheme_id, prose, changed)")
-def figure_repair(spark, d):
-    rows = sections.build_documents(repair_input(spark), F.lit("2026-01-31"))
-    before = spark.createDataFrame([(r[0], r[3]) for r in REPAIRS], "scheme_id string, was string")
-    prose = F.get("sections", F.lit(2))["text"]
-    return rows.join(before, "scheme_id").select("scheme_id", prose.alias("prose"), (prose != F.col("was")).alias("changed"))
-
-
-@query(f"SELECT doc_id::VARCHAR AS scheme_id, 1::INT AS n_sections, length({sql_lines('text')})::INT AS n_chars FROM documents")
-def ingest_stats(spark, d):
-    return sections.document_stats(built(spark, d)).select("scheme_id", "n_sections", "n_chars")
-
-
 @query(
     "SELECT count(*) AS sources_ok, 2::INT AS n_failed, '2026-01-31' AS max_fetched_at, count(*)::INT AS n_documents, 2::INT AS n_warnings FROM documents"
 )
@@ -444,25 +363,6 @@ def chunk_ids(spark, d):
     return documents_as_chunks(spark, d).select("chunk_id", "scheme_id", "chunk_index", "content_sha256", "embed_text")
 
 
-@query(f"WITH {_CHUNK_SQL} SELECT chunk_id, 'over_limit' AS violation FROM e WHERE ceil(length(embed_text) / 4) > 240")
-def chunk_violations(spark, d):
-    return chunking.violations(documents_as_chunks(spark, d))
-
-
-@query(
-    f"WITH l AS (SELECT doc_id, string_split({sql_lines('text')}, {NEWLINE}) AS ls FROM documents) "
-    "SELECT doc_id, unnest(range(0, len(ls)))::INT AS at, unnest(ls) AS line FROM l"
-)
-def chunk_index(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.split(text.normalize_lines("text"), "\n", -1).alias("ls"))
-    return docs.select("doc_id", F.posexplode("ls").alias("at", "line"))
-
-
-@query(f"WITH {_CHUNK_SQL} SELECT chunk_id, doc_id::VARCHAR AS scheme_id, source AS scheme_name, 0::INT AS chunk_index, sha256(body) AS content_sha256 FROM e")
-def flat_metadata(spark, d):
-    return store.flat_metadata(documents_as_chunks(spark, d)).select("chunk_id", "scheme_id", "scheme_name", "chunk_index", "content_sha256")
-
-
 # Vectors -------------------------------------------------------------------------------
 
 EVERY = 50  # questions are the vectors whose id is a multiple of it
@@ -654,19 +554,6 @@ def ingest_cache_join(spark, d):
 # Citations --------------------------------------------------------------------------------
 
 
-@query(f"WITH k AS (SELECT DISTINCT {sql_url('url')} AS u FROM pages WHERE contains(url, 'example.com')) SELECT page_id FROM pages WHERE {sql_url('url')} IN (SELECT u FROM k)")
-def citation_whitelist(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url", text.normalize_url("url").alias("u"))
-    allowed = pages.where(F.contains("url", F.lit("example.com"))).select("u")
-    return pages.join(allowed, "u", "left_semi").select("page_id")
-
-
-@query(f"SELECT {sql_url('url')} AS u, min(page_id) AS best, count(*) AS n FROM pages GROUP BY 1")
-def citation_lookup(spark, d):
-    pages = table(spark, d, "pages").select("page_id", retrieve.citation_url("url").alias("u"))
-    return pages.groupBy("u").agg(F.min_by("page_id", "page_id").alias("best"), F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "SELECT p.page_id, coalesce(m.name, '') AS scheme_name FROM pages p LEFT JOIN (SELECT url, min('page ' || page_id) AS name FROM pages WHERE contains(url, 'example.org') GROUP BY url) m ON m.url = p.url"
 )
@@ -748,11 +635,6 @@ ENFORCED = (
 )
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + _values((k, kind, (out if out is not None else enforce.NOT_FOUND_TEXT) + STAMP, acts) for k, (_, kind, out, acts) in enumerate(ENFORCED))
-    + ") AS v(query_id, kind, text, actions)"
-)
 def enforce_cases(spark, d):
     rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(ENFORCED)], "query_id int, raw string")
     chunks = F.array(
@@ -788,31 +670,6 @@ def _golden_answers(spark) -> DataFrame:
 _SETS = {"refuse_advice": "advice", "refuse_pii": "pii", "refuse_performance": "performance", "answer": "factual"}
 
 
-@query(
-    "SELECT s AS set, k AS kind, count(*) AS n FROM (VALUES "
-    + _values((_SETS[a], "not_found" if a == "answer" else "refusal") for _, a, _ in GOLDEN)
-    + ") AS v(s, k) GROUP BY 1, 2"
-)
-def turn_outcomes(spark, d):
-    sets = F.create_map(*(F.lit(x) for kv in _SETS.items() for x in kv))
-    return evaluate.outcomes(_golden_answers(spark).withColumn("set", F.element_at(sets, F.col("guard.action"))))
-
-
-def _gate_rows():
-    n = {s: sum(_SETS[a] == s for _, a, _ in GOLDEN) for s in _SETS.values()}
-    total = len(GOLDEN)
-    return [
-        ("AC1", 0, 0, None, True), ("AC2", total, total, 1.0, True), ("AC3", 0, 0, None, True), ("AC4", n["advice"], n["advice"], 1.0, True),
-        ("AC5", n["pii"], n["pii"], 1.0, True), ("AC6", n["performance"], n["performance"], 1.0, True), ("AC7", total, total, 1.0, True),
-        ("AC8", n["factual"], 0, 0.0, False), ("AC9", 0, 0, None, True),
-    ]
-
-
-@query(
-    "SELECT gate, n::BIGINT AS n, passed::BIGINT AS passed, rate::DOUBLE AS rate, ok FROM (VALUES "
-    + _values(_gate_rows()).replace("True", "true").replace("False", "false")
-    + ") AS v(gate, n, passed, rate, ok)"
-)
 def eval_gates(spark, d):
     sets = F.create_map(*(F.lit(x) for kv in _SETS.items() for x in kv))
     done = _golden_answers(spark).withColumn("set", F.element_at(sets, F.col("guard.action")))
