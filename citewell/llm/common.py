@@ -56,12 +56,21 @@ def discard(df: DataFrame) -> None:
     """Remove the files of a table made by ``durable`` that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         _remove(df.sparkSession, folder)
+        _made.difference_update({p for p in _made if p.rpartition("/")[2] == folder.rpartition("/")[2]})
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove every table that this process has written with ``durable``."""
-    while _made:
-        _remove(spark, _made.pop())
+def made() -> frozenset[str]:
+    """The tables that this process has written and not removed."""
+    return frozenset(_made)
+
+
+def clean(spark: SparkSession, since: frozenset[str] = frozenset(), keep: str | None = None) -> None:
+    """Remove the tables that this process has written with ``durable``, but for those
+    of ``since`` and those named ``keep``."""
+    for path in made() - since:
+        if keep is None or not path.rpartition("/")[2].startswith(f"{keep}-"):
+            _remove(spark, path)
+            _made.discard(path)
 
 
 def whole(text: str | Column) -> Column:

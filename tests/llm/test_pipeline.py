@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citewell.llm import mixing, pieces, quality
+from citewell.llm.common import made
 
 
 def test_stages_on_a_small_table(docs, spark, tmp_path):
@@ -32,7 +33,10 @@ def test_stages_on_a_small_table(docs, spark, tmp_path):
 
 def test_run_reads_documents(docs, spark, tmp_path):
     docs([(k, " ".join(f"t{k}y{j}" for j in range(30)), "en", "s") for k in range(6)]).write.parquet(str(tmp_path / "documents.parquet"))
+    before = made()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 6
+    (left,) = made() - before
+    assert "/pipeline-source_mix-" in left
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
@@ -51,5 +55,23 @@ def test_clashing_names(odd, spark):
 
 
 def test_odd_rows(odd, spark):
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, "").columns == odd.columns, name
+    """What each stage says of nulls, repeated rows, very long texts and ties."""
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "")
+        assert name == "piece_encoding" or out.columns == odd.columns, name
+        seen[name] = out.collect()
+    assert all(r.text and len(r.text.split()) >= 10 for r in seen["quality_rules"])
+    near = [(r.doc_id, r.text) for r in seen["near_duplicates"]]
+    assert near.count((4, "a b c")) == 1 and (None, "no id") in near and (1, None) in near and not any(i == 7 for i, _ in near)
+    assert sorted(map(repr, seen["secret_scan"])) == sorted(map(repr, odd.collect()))
+    assert {r.doc_id for r in seen["source_mix"]} <= {r.doc_id for r in odd.collect()}
+    assert len(seen["piece_encoding"]) == odd.count()
+
+
+def test_ids_that_many_rows_share(docs, spark):
+    """A third of the rows with one id, or none: near_duplicates keeps one of each text group."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None if k % 2 else 5, text(k)) for k in range(40)] + [(k + 100, text(k % 40)) for k in range(60)]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()]
+    assert sorted(t for _, t in kept) == sorted({t for _, t in rows})
