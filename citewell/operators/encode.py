@@ -29,11 +29,11 @@ def hashed(tokens: Column) -> Column:
 
 def dense(hashes: Iterator, dimensions: int) -> np.ndarray:
     """Signed counts of hashed tokens, as unit rows; no token gives zeros."""
-    out = np.zeros((len(hashes), dimensions), dtype=np.float64)
-    for row, own in enumerate(hashes):
-        if own is not None and len(own):
-            h = np.asarray(own, dtype=np.int64).view(np.uint64)
-            np.add.at(out[row], (h % np.uint64(dimensions)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0))
+    sizes = np.array([0 if own is None else len(own) for own in hashes], dtype=np.int64)
+    flat = [np.asarray(own, dtype=np.int64) for own in hashes if own is not None]
+    h = np.concatenate([*flat, np.zeros(0, dtype=np.int64)]).view(np.uint64)
+    place = np.repeat(np.arange(len(sizes)), sizes) * dimensions + (h % np.uint64(dimensions)).astype(np.int64)
+    out = np.bincount(place, np.where(h >> np.uint64(63), -1.0, 1.0), len(sizes) * dimensions).reshape(-1, dimensions)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 

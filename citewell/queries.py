@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.config import Settings
 from citewell.functions import text
 from citewell.operators import chunking, enforce, generate, retrieve, sections, sessions, store
 from citewell.operators.encode import encode
@@ -471,7 +470,7 @@ def mmr_rerank(spark, d):
 @query()
 def hashing_encode(spark, d):
     """A vector of every document."""
-    rows = encode(table(spark, d, "documents").select("doc_id", "text"), "text", dimensions=64)
+    rows = encode(table(spark, d, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", "embedding")
 
 
@@ -680,11 +679,11 @@ def eval_gates(spark, d):
 def answer_batch(spark, d):
     """Benchmark items asked of the chunks of all documents."""
     # Stands for the stored corpus: read several times, made once.
-    chunks = ingest.embedded(chunking.chunk_documents(built(spark, d)), s=Settings(dimensions=64)).persist()
+    chunks = store.checkpointed(ingest.embedded(chunking.chunk_documents(built(spark, d))))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     manifest = spark.createDataFrame([("large", "Large", URL1)], "scheme_id string, scheme_name string, url string")
     aliases = spark.createDataFrame(ALIASES, "scheme_id string, alias string")
-    done = answers.answer(asked, chunks, manifest, aliases, Settings(dimensions=64, top_k=5))
+    done = answers.answer(asked, chunks, manifest, aliases)
     return done.select("query_id", "kind", "text", "generation_mode", F.array_join("actions", "|").alias("actions"), tables.answer_payload().alias("payload"))
 
 
