@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citewell.config import Settings
-from citewell.functions import guard, text
+from citewell.functions import guard, sql, text
 from citewell.operators import chunking
 from citewell.queries import BLANK, LINES, NEWLINE, built, dealt, query, sql_lines, sql_sentences, sql_ws, table
 from citewell.sources import html
@@ -321,3 +321,21 @@ def pii_spans(spark, d):
     rows = asked_documents(spark, d).select("doc_id", "query", F.explode(guard.pii_matches("query")).alias("m"))
     here = F.substr("query", F.col("m.start").cast("int") + 1, (F.col("m.end") - F.col("m.start")).cast("int")) == F.col("m.value")
     return rows.groupBy("doc_id", F.col("m.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(here).alias("placed"))
+
+
+@query(
+    f"""
+WITH {_ASKED}
+SELECT doc_id, sha256({sql_ws("raw")}) AS norm, ceil(length(raw) / 4)::INT AS tokens, ceil(length(raw) / 4) > 256 AS over, sha256(redacted) AS redacted,
+       pii AS first, sha256('[Scheme: ' || raw || ' | Category: c | Plan: p | Section: s]') AS header FROM k JOIN q USING (doc_id)
+"""
+)
+def sql_functions(spark, d):
+    """The functions as SQL calls them."""
+    sql.register(spark)
+    asked_documents(spark, d).createOrReplaceTempView("citewell_asked")
+    return spark.sql(
+        "SELECT doc_id, sha2(normalize_ws(query), 256) AS norm, estimate_tokens(query) AS tokens, exceeds_limit(query) AS over, "
+        "sha2(redact_pii(query), 256) AS redacted, first_pii(query) AS first, "
+        "sha2(context_header(query, 'c', 'p', 's'), 256) AS header FROM citewell_asked"
+    )

@@ -151,7 +151,8 @@ def answer(
 ) -> DataFrame:
     """One answer per question (query_id, query). ``corpus`` has the chunk columns,
     embedding and body_embedding, made by the same encoder."""
-    rows = guarded(questions, aliases)
+    # Stored once, redacted: every branch below starts from what the guard says.
+    rows = store.checkpointed(guarded(questions, aliases).select("query_id", "query", "guard", "scheme_id"))
     facts = corpus.agg(F.max(F.when(F.col("fetched_at") != "", F.col("fetched_at"))).alias("max_fetched_at"))
     facts = facts.join(store.set_fingerprint(corpus).withColumnRenamed("fingerprint", "corpus_fingerprint"))
     one = facts.first()

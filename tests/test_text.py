@@ -147,3 +147,18 @@ def test_tokens_counted_by_a_tokenizer(spark):
     counted = df.select(text.count_tokens_with("t", lambda: lambda texts: [len(x.split()) for x in texts]).alias("n"))
     assert [r.n for r in counted.collect()] == [3, 0]
     assert not Settings().tokens_are_exact and Settings(tokenizer="x").tokens_are_exact
+
+
+def test_functions_in_sql(spark):
+    """Each SQL function says what its expression says."""
+    from citewell.functions import sql
+
+    names = sql.register(spark)
+    texts = ["", None, "The ratio is 1.04 %", "Rs. 1,200", "[Scheme: a]\nbody", "is if the", "me a@b.co x", "Last updated from sources: d", "12"]
+    rows = spark.createDataFrame([(x, "b", "c", "d", 1000.0, 1000.9) for x in texts], "x string, y string, z string, w string, a double, b double")
+    rows.createOrReplaceTempView("texts")
+    assert len(names) == len(sql.FUNCTIONS)
+    for name, parameters, build in sql.FUNCTIONS:
+        args = ("a", "b") if parameters[0][1] == "DOUBLE" else ("x", "y", "z", "w")[: len(parameters)]
+        want = [r[0] for r in rows.select(build(*map(F.col, args))).collect()]
+        assert [r[0] for r in spark.sql(f"SELECT {name}({', '.join(args)}) FROM texts").collect()] == want, name
