@@ -12,13 +12,17 @@ opened; ``vacuum`` removes old versions and what crashes have left.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citewell import ship
 from citewell.errors import ConfigError
 
 VERSION, MARKER = "v-", "_COMMITTED"
@@ -130,15 +134,24 @@ class Store:
         return gone
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A
+    local session without it gets a temporary one; a cluster must name it."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citewell-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the session names; a local session without one
-    gets a temporary folder, a cluster must name it."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citewell-"))
+    """The rows, stored: lineage ends there."""
+    base = shared_dir(rows.sparkSession)
+    if not rows.sparkSession.sparkContext.getCheckpointDir():
+        rows.sparkSession.sparkContext.setCheckpointDir(base)
     return rows.checkpoint()
 
 
@@ -169,12 +182,21 @@ def max_fetched_at(chunks: DataFrame) -> str | None:
 def corpus_fingerprint(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """fingerprint: twelve digits of the hash of all ids in order, "" if there are none.
 
-    A hash of one long string needs that string in one place; ``set_fingerprint``
-    doesn't.
+    A hash of one long string takes it in order, so one task sorts the ids (it may
+    spill) and streams them into the hash; ``set_fingerprint`` needs neither.
     """
-    ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
-    digest = F.substring(F.sha2(F.array_join(ids, ""), 256), 1, 12)
-    return chunks.agg(F.when(F.count(key) > 0, digest).otherwise("").alias("fingerprint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            digest.update("".join(batch.column("id").to_pylist()).encode())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"fingerprint": [digest.hexdigest()[:12] if n else ""]})
+
+    ship()
+    ids = chunks.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL")
+    found = ids.repartition(1).sortWithinPartitions("id").mapInArrow(run, "fingerprint string")
+    return found.agg(F.coalesce(F.max("fingerprint"), F.lit("")).alias("fingerprint"))
 
 
 def set_fingerprint(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -4,7 +4,6 @@ lines, aliases, repairs, enforcement, outcomes, numbering, and files written and
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -470,9 +469,8 @@ def corpus_facts(spark, d):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where the session keeps its checkpoints, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="citewell-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder beside the session's checkpoints."""
+    return f"{store.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _text_file(spark: SparkSession, lines: DataFrame, name: str) -> str:

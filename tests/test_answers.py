@@ -136,6 +136,19 @@ def test_store_survives_a_crash_between_any_two_steps(spark, tmp_path):
     assert first in gone and half in gone and store.read().count() == 4 and store.versions() == [store.current()]
 
 
+def test_fingerprint_streams_the_ids_in_order(spark):
+    import hashlib
+
+    from citewell.operators.store import corpus_fingerprint, set_fingerprint
+
+    ids = ["b", "a", "é", "a", "10", "9", None]
+    df = spark.createDataFrame([(i,) for i in ids], "chunk_id string")
+    want = hashlib.sha256("".join(sorted(i for i in ids if i)).encode()).hexdigest()[:12]
+    assert [r[0] for r in corpus_fingerprint(df.repartition(3)).collect()] == [want]
+    assert [r[0] for r in corpus_fingerprint(df.limit(0)).collect()] == [""] == [r[0] for r in corpus_fingerprint(df.where("chunk_id IS NULL")).collect()]
+    assert set_fingerprint(df).first()[0] == set_fingerprint(df.repartition(4)).first()[0]
+
+
 def test_tables(spark, tmp_path):
     good = tmp_path / "s.csv"
     good.write_text("scheme_id,scheme_name,category,plan,url\n a , A,c,p,https://u\n,,,,\nb,B,c,p,https://v\n")
