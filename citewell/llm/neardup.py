@@ -8,7 +8,9 @@ variants; an equality join finds candidates, which are then verified.
 
 Only distinct fingerprints are joined: copies never meet. Keys are first counted by
 partial aggregation; a key of two fingerprints is a candidate pair as it stands, and
-only keys of three or more fetch their members. A bucket of the index with more than
+only keys of three or more fetch their members. A broadcast filter of these keys drops
+nearly all other entries where they are made, so the index is shuffled once, not twice;
+what passes by chance meets no key in the join behind it. A bucket of the index with more than
 ``BUCKET`` fingerprints is not paired but cut again by the rest of the fingerprint
 with its remaining bits deleted; who shares such a key is linked for certain, so a
 star to the smallest member loses no link in the components (``links`` then gives
@@ -39,6 +41,9 @@ SEED = 42
 BUCKET = 256
 #: Entries of the index that a task makes.
 ENTRIES = 500_000
+#: Bits of the filter for each key, and its size in bits as a power of two: within these
+#: bounds it grows with the keys. With more keys than it is made for, more entries pass.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 12, 24
 #: Shingles counted at a time: bounds memory for very long texts.
 CHUNK = 1 << 16
 LOW = (1 << SEGMENT) - 1
@@ -99,6 +104,21 @@ def variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*entries)).alias("v")).select("fp", "v.key", "v.bit")
 
 
+def _bit(x):
+    """A long with one bit set, that of the lowest six bits of ``x``."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
+def _among(index: DataFrame, keys: DataFrame, most: int = FILTER_MOST) -> DataFrame:
+    """The entries whose key is one of ``keys``, and a few others, without a shuffle of
+    the index: keys are hashed to bits, and its words are broadcast, 2 ** (most - 6) at most."""
+    power = min(max((FILTER_BITS * keys.count()).bit_length(), FILTER_LEAST), most)
+    at = F.shiftrightunsigned(F.xxhash64("key"), 64 - power)
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(_bit(F.col("at"))).alias("set"))
+    held = (F.shiftright(at, 6) == F.col("word")) & (F.col("set").bitwiseAND(_bit(at)) != 0)
+    return index.join(F.broadcast(words), held, "left_semi")
+
+
 def _differing(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -154,7 +174,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     close = _differing("a", "b") <= 2
     pairs = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(close)
     many = keys.where("n > 2").select("key", (F.col("n") > bucket).alias("hot"))
-    held = durable(index.join(many, "key"), "simhash-index")
+    held = durable(_among(index, many).join(many, "key"), "simhash-index")
     entries = held.where("NOT hot")
     left = entries.where("bit IS NULL OR NOT bit").select("key", F.col("fp").alias("a"), F.col("bit").isNull().alias("same"))
     right = entries.where("bit IS NULL OR bit").select("key", F.col("fp").alias("b"), F.col("bit").isNull().alias("same"))

@@ -59,6 +59,48 @@ def test_components_of_close_fingerprints(spark, bucket):
     assert same_parts([found.get(x, x) for x in signed], plain_components(fps))
 
 
+def test_the_index_is_shuffled_once(spark, monkeypatch):
+    """Also where the keys that fetch their members are too many for a broadcast join."""
+    monkeypatch.setattr(neardup, "ENTRIES", 50_000)
+    rng = random.Random(1)
+    fps = [rng.getrandbits(64) for _ in range(4000)]
+    fps = sorted({x ^ 1 << k for x in fps[:40] for k in range(5)} | set(fps))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+
+    def shuffled(made):
+        sc = spark.sparkContext._jsc.sc()
+        before = sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+        rows = made().collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return rows, sc.statusStore().executorList(False).apply(0).totalShuffleWrite() - before
+
+    once = shuffled(lambda: neardup.variants(df).groupBy("key").agg(F.count("fp").alias("n"), F.min("fp"), F.max("fp")).where("n > 1"))[1]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, written = shuffled(lambda: neardup.links(df))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < once and written < 1.5 * once
+    near = {(a, b) for a in signed for b in signed if a < b and (a ^ b).bit_count() <= 2}
+    assert {(r.a, r.b) for r in pairs} == near
+
+
+@pytest.mark.parametrize("most", [6, 12, 24])
+def test_the_filter_loses_no_entry(spark, most):
+    """Full or sparse, it passes every entry with a key; sparse, it drops most others."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    index = neardup.variants(fps)
+    keys = index.where("pmod(hash(key), 100) = 0").select("key").distinct()
+    passed = neardup._among(index, keys, most)
+    wanted = index.join(keys, "key")
+    assert passed.join(keys, "key").count() == wanted.count() > 1000
+    assert neardup._among(index, keys.limit(0), most).isEmpty()
+    if most == 24:
+        assert passed.count() < wanted.count() + 0.1 * index.count()
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a bigint, b bigint")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
