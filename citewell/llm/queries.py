@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citewell.llm import chat, langid, media, mixing, neardup, pieces, pii, quality, secrets, urlfilter
+from citewell.llm import chat, langid, media, mixing, neardup, pieces, pii, quality, runs, secrets, urlfilter
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_langid": langid.op9_langid,
     "op10_urlfilter": urlfilter.op10_urlfilter,
+    "op13_runs": runs.op13_runs,
 }
 ORACLES = {
     "op1_chat": chat.ORACLE,
