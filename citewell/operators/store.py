@@ -13,7 +13,6 @@ opened; ``vacuum`` removes old versions and what crashes have left.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from citewell import ship
 from citewell.errors import ConfigError
+from citewell.operators.durable import shared_dir
 
 VERSION, MARKER = "v-", "_COMMITTED"
 FLAT = ("chunk_id", "scheme_id", "scheme_name", "category", "plan", "section", "source_url", "fetched_at")
@@ -134,19 +134,6 @@ class Store:
         return gone
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A
-    local session without it gets a temporary one; a cluster must name it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citewell-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(rows: DataFrame) -> DataFrame:
     """The rows, stored: lineage ends there."""
     base = shared_dir(rows.sparkSession)

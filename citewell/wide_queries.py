@@ -4,15 +4,13 @@ lines, aliases, repairs, enforcement, outcomes, numbering, and files written and
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewell.config import Settings
 from citewell.fold_queries import _ASKED, asked_documents, sql_pairs
 from citewell.functions import guard, text
-from citewell.operators import chunking, enforce, generate, retrieve, sections, store
+from citewell.operators import chunking, durable, enforce, generate, retrieve, sections, store
 from citewell.operators.encode import encode
 from citewell.plans import answer as answers
 from citewell.plans import evaluate
@@ -468,13 +466,8 @@ def corpus_facts(spark, d):
 # Files ------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints."""
-    return f"{store.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _text_file(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    path = scratch(spark, name)
+    path = durable.place(spark, name)
     lines.coalesce(1).write.text(path)
     return path
 
@@ -487,7 +480,7 @@ def manifest_scan(spark, d):
         F.concat(F.lit('Page, "'), F.col("page_id").cast("string"), F.lit('"')).alias("scheme_name"),
         F.lit("c").alias("category"), F.lit("p").alias("plan"), "url",
     )
-    path = scratch(spark, "manifest")
+    path = durable.place(spark, "manifest")
     rows.coalesce(1).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tables.read_sources(spark, path)
 
@@ -499,7 +492,7 @@ def source_index(spark, d):
         (F.col("page_id") % 50).cast("string").alias("scheme_id"), F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("scheme_name"),
         F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"),
     )
-    path = scratch(spark, "index")
+    path = durable.place(spark, "index")
     rows.coalesce(1).write.csv(path, header=True, escape='"')
     return tables.source_index(spark, path)
 
@@ -519,7 +512,7 @@ def alias_file(spark, d):
 )
 def documents_file(spark, d):
     """Documents as lines of JSON and back."""
-    path = scratch(spark, "documents")
+    path = durable.place(spark, "documents")
     tables.write_json(built(spark, d), path, ("scheme_id",))
     rows = tables.load_documents(spark, path).select("scheme_id", "scheme_name", F.explode("sections").alias("s"))
     return rows.select("scheme_id", "scheme_name", "s.section_title", "s.text", "s.is_table")
@@ -528,7 +521,7 @@ def documents_file(spark, d):
 @query(f"WITH {_CHUNK_SQL} SELECT chunk_id, doc_id::VARCHAR AS scheme_id, 0::INT AS chunk_index, embed_text, body AS display_text FROM e")
 def chunks_file(spark, d):
     """Chunks as lines of JSON and back."""
-    path = scratch(spark, "chunks")
+    path = durable.place(spark, "chunks")
     tables.write_json(documents_as_chunks(spark, d), path, ("scheme_id", "chunk_index"))
     return tables.load_chunks(spark, path).select("chunk_id", "scheme_id", "chunk_index", "embed_text", "display_text")
 
@@ -551,7 +544,7 @@ def questions_file(spark, d):
 def answers_file(spark, d):
     """Answers as lines of JSON, without the question, and what a reader finds in them."""
     done = guard_answers(spark, d).select("query_id", tables.answer_payload().alias("value"))
-    path = scratch(spark, "answers")
+    path = durable.place(spark, "answers")
     done.write.json(path)
     schema = "kind string, text string, citations array<struct<url:string>>, guard_action string, postprocess_actions array<string>, corpus_fingerprint string"
     rows = spark.read.schema("query_id bigint, value string").json(path).select("query_id", F.from_json("value", schema).alias("a"))
