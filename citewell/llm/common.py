@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: durable tables and word definitions."""
+"""What the operators of this subpackage share: tables and word definitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewell.operators.durable import clean, discard, durable, made  # noqa: F401  for the operators here
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,63 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a temporary folder; on a
-    cluster its absence is an error, since local folders are not shared there.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citewell-"))
-    return sc.getCheckpointDir()
-
-
-#: Tables that this process has written and not removed.
-_made: set[str] = set()
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and
-    the rows survive lost executors. ``clean`` removes what is left when the results
-    that read it have been stored."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.add(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by ``durable`` that nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, folder)
-        _made.difference_update({p for p in _made if p.rpartition("/")[2] == folder.rpartition("/")[2]})
-
-
-def made() -> frozenset[str]:
-    """The tables that this process has written and not removed."""
-    return frozenset(_made)
-
-
-def clean(spark: SparkSession, since: frozenset[str] = frozenset(), keep: str | None = None) -> None:
-    """Remove the tables that this process has written with ``durable``, but for those
-    of ``since`` and those named ``keep``."""
-    for path in made() - since:
-        if keep is None or not path.rpartition("/")[2].startswith(f"{keep}-"):
-            _remove(spark, path)
-            _made.discard(path)
-
-
 def whole(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
