@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citewell.llm import chat, langid, media, mixing, neardup, pieces, pii, quality, runs, secrets, trie, urlfilter
+from citewell.llm import chat, langid, media, mixing, neardup, pieces, pii, quality, runs, secrets, trie, urlfilter, weighted
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_langid": langid.op9_langid,
     "op10_urlfilter": urlfilter.op10_urlfilter,
+    "op11_weighted": weighted.op11_weighted,
     "op12_trie": trie.op12_trie,
     "op13_runs": runs.op13_runs,
 }
