@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from citewell.config import settings
 from citewell.operators.chunking import chunk_documents, chunk_report, violations
+from citewell.operators.durable import durable
 from citewell.operators.enforce import ERROR
 from citewell.operators.store import Store
 from citewell.plans.answer import answer
 from citewell.plans.ingest import build, cached_and_missing, documents_of, report
 from citewell.sources import tables
-from citewell.sources.http import read_pages
+from citewell.sources.http import fetch_into
 
 
 def session() -> SparkSession:
@@ -23,16 +25,24 @@ def session() -> SparkSession:
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
-    """1 if a source failed."""
+    """1 if a source failed.
+
+    Documents are kept in a store of versions, where the next run finds those it need not
+    fetch; the file of JSON lines is written from it. Pages that came before a run stopped
+    are kept beside it."""
     s = settings(spark)
     manifest = tables.read_sources(spark, a.manifest)
-    cached = tables.load_documents(spark, a.documents)
+    cache = Store(spark, f"{a.documents}-cache")
+    cached = cache.read()
+    cached = tables.load_documents(spark, a.documents) if cached is None else cached
     hits, missing = cached_and_missing(manifest, cached if not a.force else cached.limit(0))
-    pages = read_pages(spark, missing, delay=s.fetch_delay_s).persist()
+    raw = f"{a.documents}-raw" + (f"-{uuid.uuid4().hex}" if a.force else "")
+    pages = fetch_into(missing, raw, s)
     docs, failed = documents_of(pages, manifest, s)
-    docs = hits.unionByName(docs).persist()
-    tables.archive_pages(pages, f"{a.documents}-raw")
-    tables.write_json(docs, f"{a.documents}.new", ("scheme_id",))
+    failed = durable(failed, "failed")
+    cache.write(hits.unionByName(docs), force=True)
+    docs = cache.read()
+    tables.write_json(docs, a.documents, ("scheme_id",))
     tables.write_json(report(docs, failed, pages), f"{a.documents}-report")
     build(docs, Store(spark, a.store), s)
     return int(not failed.isEmpty())

@@ -68,19 +68,28 @@ def normalize_lines(s: str | Column) -> Column:
 # Tokens that end in a dot without ending a sentence.
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "rs", "no", "e.g", "i.e", "vs", "cf", "approx", "fy")
 _END = "[.!?…]"
-_ABBR = (
-    r"(?<=(?:^|[^A-Za-z.])\.{0,8}(?:"
-    + "|".join(sorted((a.replace(".", r"\.") for a in ABBREVIATIONS), key=len, reverse=True))
-    + r")\.{1,8}%s)"
-)
-_NOT_ABBR = "(?<!" + _ABBR[4:]
-#: A boundary is blanks after an end mark, or line feeds. None after an
-#: abbreviation, between digits, or before a lower-case letter.
-#: What is cheap to see is tested first: the place of a boundary, then what protects it.
-SENTENCE_END = (
-    rf"(?=[ \t])(?<={_END})(?i:{_NOT_ABBR % ''})(?:(?<!\p{{Nd}}{_END}{{1,8}})[ \t]++|[ \t]++(?!\p{{Nd}}))(?!\p{{Ll}})"
-    rf"|(?=\n)(?<!\n)(?i:{_NOT_ABBR % '[ \t]{0,8}'})\n++"
-)
+#: A mark set behind what ends no sentence though it looks so. A text's own mark is followed
+#: by another; both are noncharacters.
+_HELD, _OWN = "\ufdd0", "\ufdd1"
+_ABBR = "|".join(sorted((a.replace(".", r"\.") for a in ABBREVIATIONS), key=len, reverse=True))
+#: An abbreviation with its dots, and end marks between digits.
+_KEPT = rf"(?<![A-Za-z.])\.*+(?i:{_ABBR})\.++(?=[ \t\n])|(?<=\p{{Nd}}){_END}++(?=[ \t]++\p{{Nd}})"
+#: A boundary is blanks after an end mark, or line feeds; none before a lower-case letter.
+SENTENCE_END = rf"(?=[ \t])(?<={_END})[ \t]++(?!\p{{Ll}})|(?=\n)(?<![\n{_HELD}])\n++"
+
+
+def _held(text: Column) -> Column:
+    """The text with marks behind abbreviations and between digits, so that no blank or
+    line feed there follows an end mark."""
+    own = F.when(F.contains(text, F.lit(_HELD)), F.replace(text, F.lit(_HELD), F.lit(_HELD + _OWN))).otherwise(text)
+    marked = F.regexp_replace(own, _KEPT, f"$0{_HELD}")
+    # Line feeds behind an abbreviation and blanks are held as well; those behind digits are not.
+    return F.regexp_replace(marked, rf"(?<=\.){_HELD}([ \t]++)(?=\n)", f"{_HELD}$1{_HELD}")
+
+
+def _freed(piece: Column) -> Column:
+    bare = F.replace(F.regexp_replace(piece, f"{_HELD}(?!{_OWN})", ""), F.lit(_HELD + _OWN), F.lit(_HELD))
+    return F.when(F.contains(piece, F.lit(_HELD)), bare).otherwise(piece)
 
 
 def strip(s: Column) -> Column:
@@ -89,8 +98,8 @@ def strip(s: Column) -> Column:
 
 
 def split_sentences(s: str | Column) -> Column:
-    pieces = F.split(F.coalesce(str_(s), F.lit("")), SENTENCE_END, -1)
-    return F.filter(F.transform(pieces, strip), lambda x: x != "")
+    pieces = F.split(_held(F.coalesce(str_(s), F.lit(""))), SENTENCE_END, -1)
+    return F.filter(F.transform(pieces, lambda x: strip(_freed(x))), lambda x: x != "")
 
 
 def truncate_sentences(s: str | Column, n: int) -> Column:

@@ -37,3 +37,18 @@ def numbered(rows: DataFrame, *order: Column, name: str = "number") -> DataFrame
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION).cast("bigint"))
     dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_in", place)
     return within(durable(dealt, "numbered"), "_part", name)
+
+
+def by_file(rows: DataFrame, name: str = "number") -> DataFrame:
+    """Rows read from files, with their number from 0 in the order of paths and of places
+    in a file. Each split is read where it lies: its rows are counted, and numbered behind
+    those of the splits before. The files must stay as they are until the rows are used."""
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    placed = rows.select("*", split.alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    # One row a split.
+    sizes = placed.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    ahead = F.sum("_n").over(W.orderBy("_split").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select(F.col("_split").alias("_of"), "_first", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(before), F.col("_split") == F.col("_of"))
+    number = (F.col("_before") + F.col("_id") - F.col("_first")).cast("bigint")
+    return joined.withColumn(name, number).drop("_split", "_of", "_id", "_first", "_before")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from citewell.errors import ConfigError
 from citewell.functions.text import strip
+from citewell.operators.ordinals import by_file
 from citewell.schemas import CHUNK, DOCUMENT, SOURCE
 
 COLUMNS = tuple(SOURCE.fieldNames())
@@ -21,8 +22,14 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """With the line of each row; a manifest is one small file."""
-    return rows.coalesce(1).withColumn("_line", F.monotonically_increasing_id() + 2)
+    """With the file of each row, its line there (the header is line 1) and its place among
+    all rows. A quoted field may hold line feeds, so a file is one split; a folder's
+    files are read side by side, each with its own header."""
+    rows = by_file(rows.withColumn("_file", F.col("_metadata.file_path")), "_at")
+    # One row a file.
+    first = rows.groupBy(F.col("_file").alias("_of")).agg(F.min("_at").alias("_first"))
+    joined = rows.join(F.broadcast(first), F.col("_file") == F.col("_of"))
+    return joined.withColumn("_line", F.col("_at") - F.col("_first") + 2).drop("_of", "_first")
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -34,12 +41,12 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
         raise ConfigError(f"{path} lacks column(s): {', '.join(missing)}")
     value = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
     rows = _numbered(rows)
-    blank = F.forall(F.array(*(value(c) for c in rows.columns if c != "_line")), lambda v: v == "")
+    blank = F.forall(F.array(*(value(c) for c in rows.columns if c not in ("_file", "_at", "_line"))), lambda v: v == "")
     empty = F.filter(F.array(*(F.when(value(c) == "", F.lit(c)) for c in COLUMNS)), lambda c: c.isNotNull())
     rows = rows.where(~blank)
-    bad = rows.where(F.size(empty) > 0).select("_line", empty.alias("empty")).orderBy("_line").first()
+    bad = rows.where(F.size(empty) > 0).select("_file", "_line", "_at", empty.alias("empty")).orderBy("_at").first()
     if bad:
-        raise ConfigError(f"{path} line {bad['_line']}: empty field(s): {', '.join(bad['empty'])}")
+        raise ConfigError(f"{bad['_file']} line {bad['_line']}: empty field(s): {', '.join(bad['empty'])}")
     return rows.select(*(value(c).alias(c) for c in COLUMNS))
 
 
@@ -50,19 +57,18 @@ def source_index(spark: SparkSession, path: str) -> DataFrame:
     try:
         rows = _numbered(_csv(spark, path))
         value = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
-        rows = rows.select("_line", *(value(c).alias(c) for c in ("scheme_id", "scheme_name", "url")))
+        rows = rows.select("_at", *(value(c).alias(c) for c in ("scheme_id", "scheme_name", "url")))
     except Exception:  # noqa: BLE001  any trouble with the file
         return spark.createDataFrame([], schema)
-    last = F.row_number().over(W.partitionBy("scheme_id").orderBy(F.col("_line").desc()))
+    last = F.row_number().over(W.partitionBy("scheme_id").orderBy(F.col("_at").desc()))
     rows = rows.where("scheme_id <> '' AND url <> ''").withColumn("_nth", last).where("_nth = 1")
     return rows.select("scheme_id", "scheme_name", "url")
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """scheme_id, alias (in lower case) from a JSON object of lists."""
-    text = spark.read.text(path, wholetext=True).first()[0]
     kind = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
-    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(F.from_json("t", kind)).alias("scheme_id", "a"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("scheme_id", "a"))
     return rows.select("scheme_id", F.explode("a").alias("alias")).select("scheme_id", F.lower("alias").alias("alias"))
 
 
@@ -97,9 +103,8 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """query_id, query: lines that aren't blank, up to one that ends the session. The
-    file is one session, numbered by line."""
-    rows = spark.read.text(path).coalesce(1).withColumn("query_id", F.monotonically_increasing_id())
-    rows = rows.select("query_id", strip(F.col("value")).alias("query"))
+    file, or the files of a folder in order, are one session, numbered by line."""
+    rows = by_file(spark.read.text(path), "query_id").select("query_id", strip(F.col("value")).alias("query"))
     ended = rows.where(F.lower("query").isin(*EXIT_WORDS)).agg(F.min("query_id")).first()[0]
     return rows.where("query <> ''" if ended is None else f"query <> '' AND query_id < {ended}")
 

@@ -89,7 +89,7 @@ SELECT doc_id, CASE WHEN len(s) = 1 THEN s[1] END AS scheme_id FROM h
 
 
 def _resolved(spark, d, few: int) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 1 << 30).alias("query"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("query"))
     named = retrieve.resolve_scheme(rows, spark.createDataFrame(NAMED, "scheme_id string, alias string"), few=few)
     return named.select("doc_id", "scheme_id")
 
@@ -268,10 +268,13 @@ WRITTEN = (
     ("A b. C d. E f. G h. U", "factual", "A b. C d. G h. U", "truncated_to_3_sentences"),
     ("The ratio is D.5% now. It costs ₹7777777 yearly. U", "factual", "The ratio is D.5% now. It costs yearly. U", "dropped_unsupported_number:₹7777777"),
     ("The ratio is D.5% [1].", "factual", "The ratio is D.5% U.", "resolved_chunk_markers:1"),
-    ("the load is D.5%. See U and https://pages.example/other", "factual", "Load is D.5%. See U", None),
+    ("the load is D.5%. See U and https://pages.example/other", "factual", "Load is D.5%. See U", "dropped_unverified_urls:1|reduced_to_one_citation:1"),
+    ("The ratio is D.5%【1】.", "factual", "The ratio is D.5% U.", "resolved_chunk_markers:1"),
+    ("The ratio is D.5% here. It was about ₹7777777. U", "factual", "The ratio is D.5% here. U", "dropped_unsupported_number:₹7777777|dropped_mangled_sentence"),
+    ("The ratio is D.5% here. It was about ₹7777777 (U).", "factual", "The ratio is D.5% here. Source: U",
+     "dropped_unsupported_number:₹7777777|dropped_mangled_sentence|restored_citation_after_numeric_audit"),
     ("", "not_found", None, "fail_closed_no_citation"),
 )
-WRITTEN = tuple(w for w in WRITTEN if w[3] is not None)
 _FILLED = "replace(replace({}, 'D', doc_id::VARCHAR), 'U', 'https://pages.example/' || doc_id % 7)".format
 
 
@@ -467,8 +470,9 @@ def corpus_facts(spark, d):
 
 
 def _text_file(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """Lines as the files of a folder, in order."""
     path = durable.place(spark, name)
-    lines.coalesce(1).write.text(path)
+    lines.write.text(path)
     return path
 
 
@@ -481,7 +485,7 @@ def manifest_scan(spark, d):
         F.lit("c").alias("category"), F.lit("p").alias("plan"), "url",
     )
     path = durable.place(spark, "manifest")
-    rows.coalesce(1).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tables.read_sources(spark, path)
 
 
@@ -493,7 +497,7 @@ def source_index(spark, d):
         F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"),
     )
     path = durable.place(spark, "index")
-    rows.coalesce(1).write.csv(path, header=True, escape='"')
+    rows.write.csv(path, header=True, escape='"')
     return tables.source_index(spark, path)
 
 
@@ -527,14 +531,16 @@ def chunks_file(spark, d):
 
 
 @query(
-    "WITH l AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '  ' ELSE ' ' || url || ' ' END AS x FROM pages WHERE page_id < 200) "
+    "WITH l AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '  ' ELSE ' ' || url || ' ' END AS x FROM pages) "
     "SELECT (row_number() OVER (ORDER BY page_id) - 1)::BIGINT AS query_id, trim(x) AS query FROM l QUALIFY trim(x) <> ''"
 )
 def questions_file(spark, d):
-    """A session of questions with blank lines, up to the one that ends it."""
-    url = F.when(F.col("page_id") == 200, " Quit ").when(F.col("page_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
-    path = _text_file(spark, table(spark, d, "pages").orderBy("page_id").select(url.alias("value")), "questions")
-    return tables.read_questions(spark, path)
+    """A session of questions with blank lines, and what stands behind the word that ends it."""
+    url = F.when(F.col("page_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
+    pages = table(spark, d, "pages").select(F.lit(0).alias("k"), "page_id", url.alias("value"))
+    end = spark.createDataFrame([(1, 0, " Quit ")], pages.schema)
+    rows = pages.unionByName(end).unionByName(pages.withColumn("k", F.lit(2)))
+    return tables.read_questions(spark, _text_file(spark, rows.orderBy("k", "page_id").select("value"), "questions"))
 
 
 @query(

@@ -184,28 +184,6 @@ def test_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.read_aliases(spark, str(a)).collect()) == [("x", "one"), ("x", "two")]
 
 
-def test_fetch_retries_and_gives_up():
-    import pytest
-
-    from citewell.errors import FetchError
-    from citewell.sources.http import Reader, Share, fetch
-
-    waits, replies = [], iter([("u", "", 500), OSError("x"), ("final", "<p>", 200)])
-
-    def get(url, s):
-        r = next(replies)
-        if isinstance(r, Exception):
-            raise r
-        return r
-
-    assert fetch("u", get=get, sleep=waits.append) == ("final", "<p>", 200) and waits == [1.0, 2.0]
-    with pytest.raises(FetchError):
-        fetch("u", get=lambda *_: ("u", "", 404), sleep=waits.append)
-    reader = Reader({"urls": '{"scheme_id": "a", "url": "http://127.0.0.1:9/"}', "retries": "1"})
-    (row,) = reader.read(Share(reader.rows))
-    assert row[0] == "a" and row[3] is None and "after 1 attempts" in row[5]
-
-
 def test_ingest_of_pages(spark):
     html = "<main><h1>T</h1><p>" + "Fact 5% stands here. " * 40 + "</p></main>"
     got = spark.createDataFrame(
