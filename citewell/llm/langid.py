@@ -12,8 +12,9 @@ The model is three sorted arrays. Terms stand in it as 64-bit hashes, so that it
 takes some 20 bytes for each pair of a term and a language that has it; two of ten
 million terms share a hash with a probability under 1e-5.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0, as
-is everything where nothing could be learned or the table is empty of labelled rows;
+Defined results: a letter is what ``str.isalpha`` says (other numbers than digits are none),
+and marks belong to the word they stand in; a null text, or one without a letter, is
+``und`` with score 0, as is everything where nothing could be learned or the table is empty of labelled rows;
 null languages teach nothing; ties go to the language that sorts first; repeated rows
 get equal results; a text of any length is read whole; an empty table gives an empty
 result; only doc_id, text and (to learn) lang are read, so further columns may have
@@ -23,8 +24,11 @@ any names.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,6 @@ from citewell.llm.common import discard, documents, durable
 UNKNOWN = "und"
 LONGEST = 4
 MAX_ROWS = 4000
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Count given to a term that a language has not shown.
 FLOOR = 0.5
 #: Words, and starts of n-grams, that a worker remembers.
@@ -47,8 +50,25 @@ CACHED = 1 << 17
 MANY = 10_000
 
 
+def _ranges(test: Callable[[str], bool]) -> str:
+    """A class's inside: the characters that pass, as ranges."""
+    passing = [k for k in range(sys.maxunicode + 1) if test(chr(k))]
+    starts = [k for k, before in zip(passing, [-2, *passing], strict=False) if k != before + 1]
+    ends = [k for k, after in zip(passing, [*passing[1:], -2], strict=True) if k != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+@cache
+def _word() -> re.Pattern:
+    """A letter and what letters and marks follow it. A letter is what ``str.isalpha`` says, so
+    numbers that are no digits are none; marks that write vowels stay in their word."""
+    letter = _ranges(str.isalpha)
+    mark = _ranges(lambda c: unicodedata.category(c)[0] == "M")
+    return re.compile(f"[{letter}][{letter}{mark}]*")
+
+
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return _word().findall(text.lower())
 
 
 def grams_of(word: str) -> Iterator[str]:

@@ -48,8 +48,8 @@ SUPPORT = 5
 CONFIDENCE = 0.8
 #: The score from which an instance counts as one of a kind.
 SURE = 0.7
-#: Scores that change by less have settled; rounds after which they are taken as they are.
-SETTLED, ROUNDS = 0.01, 20
+#: Scores that change by less have settled.
+SETTLED = 0.01
 #: What an instance passes on of the score of the patterns it stands in.
 DAMPING = 0.9
 
@@ -178,15 +178,20 @@ def graph(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
     return kept
 
 
-def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """pattern, kind, sure (instances surely of that kind) and confidence of the trusted
     patterns, after rounds of scoring patterns by their instances and instances by
     their patterns. Only trusted patterns pass scores on: those under ``confidence``
-    cannot lift one another above it."""
+    cannot lift one another above it.
+
+    The rounds end by themselves. They start from seeds alone, and a round's scores are
+    sums over those of the round before, so from round to round no pattern loses trust or
+    confidence; each round but the last adds a pattern or lifts a confidence, of 1 at
+    most, by ``SETTLED``."""
     seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     unknown = edges.where("kind IS NULL").select("pattern", "instance")
     scores, scored = seeds, None
-    for _ in range(rounds):
+    while True:
         sums = edges.select("pattern", "size", "instance").join(scores, "instance").groupBy("pattern", "size", "kind")
         sums = sums.agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= SURE).alias("sure"))
         now = sums.where(F.col("sure") >= support).select(
@@ -198,12 +203,11 @@ def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFI
             discard(scored)
         scored = now
         if not changed:
-            break
+            return scored
         # An instance is of a kind unless every pattern it stands in errs.
         errs = F.sum(F.log(1 - F.lit(DAMPING) * F.col("confidence")))
         found = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(errs)).alias("score"))
         scores = seeds.unionByName(found)
-    return scored
 
 
 def _moved(before: DataFrame, now: DataFrame) -> bool:

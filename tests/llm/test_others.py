@@ -5,6 +5,8 @@ import math
 import random
 import re
 import struct
+import sys
+import unicodedata
 import wave
 import zlib
 
@@ -264,9 +266,35 @@ def test_media_digest(docs, odd):
 # Languages ---------------------------------------------------------------------------
 
 
+def plain_words(text):
+    """Letter by letter: a word begins with a letter and goes on with letters and marks."""
+    out, now = [], ""
+    for c in text.lower():
+        if c.isalpha() or (now and unicodedata.category(c).startswith("M")):
+            now += c
+        else:
+            out, now = out + [now] * bool(now), ""
+    return out + [now] * bool(now)
+
+
+def test_words_over_every_category():
+    by = {}
+    for k in range(sys.maxunicode + 1):
+        by.setdefault(unicodedata.category(chr(k)), []).append(chr(k))
+    rng = random.Random(8)
+    some = [c for cs in by.values() for c in rng.sample(cs, min(40, len(cs)))]
+    for c in some:
+        for text in (c, f"a{c}b", f"{c}a", f"1{c}"):
+            assert langid.words_of(text) == plain_words(text), (hex(ord(c)), text)
+    for _ in range(300):
+        text = "".join(rng.choices(some, k=30))
+        assert langid.words_of(text) == plain_words(text)
+    assert [langid.words_of(x) for x in ("²", "½ ¾", "Ⅷ", "①②", "हिन्दी", "12")] == [[], [], [], [], ["हिन्दी"], []]
+
+
 def plain_predictor(rows, longest=4, floor=0.5):
     """Dictionaries and loops over (lang, text): what the model must say."""
-    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    words = plain_words
     counts, totals = {}, {}
     for lang, text in rows:
         for w in words(text):

@@ -113,7 +113,7 @@ def plain_bootstrap(edges, support=pii.SUPPORT, confidence=pii.CONFIDENCE):
     edges = [e for e in edges if len(size[e[0]]) >= support]
     seeds = {(i, k): 1.0 for _, i, k in edges if k}
     scores, scored = dict(seeds), None
-    for _ in range(pii.ROUNDS):
+    for _ in range(100):
         now = {}
         for p in {p for p, _, _ in edges}:
             for k in {k for _, k in scores}:
