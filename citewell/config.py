@@ -23,7 +23,7 @@ class Settings:
     max_table_chars: int = 1800
     embed_limit: int = 256
     chars_per_token: int = 4
-    #: Name of a tokenizer that counts tokens; None: they are estimated.
+    #: Name of the tokenizer that chunking counts with (see operators.tokens); None: tokens are estimated.
     tokenizer: str | None = None
     # Encoder
     dimensions: int = 384
@@ -48,7 +48,7 @@ class Settings:
 
     @property
     def tokens_are_exact(self) -> bool:
-        """Whether a tokenizer counts, or an estimate."""
+        """Whether chunks are made by a tokenizer's counts, or by an estimate."""
         return self.tokenizer is not None
 
     @property

@@ -5,6 +5,8 @@ a cut, where the operators fold over arrays.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from citewell.config import Settings
@@ -26,10 +28,12 @@ SELECT {key}, list_prepend(0::BIGINT, list(c ORDER BY i)) AS upto FROM (
 ) GROUP BY {key}"""
 
 
-def sql_pack(most: str, chars: int = 1800) -> str:
+def sql_pack(most: str, chars: int = 1800, counted: bool = False) -> str:
     """Where the run of lines from ``s`` ends, over lists ``xs`` and ``upto`` (with line
-    feeds): within both budgets, a label kept next to its value."""
-    fits = f"(upto[e + 1] - upto[s + 1] - 1 <= {chars} AND ceil((upto[e + 1] - upto[s + 1] - 1) / 4) <= {most})"
+    feeds) and, if tokens are counted, their sums ``tokens``: within both budgets, a label
+    kept next to its value."""
+    size = "tokens[e + 1] - tokens[s + 1]" if counted else "ceil((upto[e + 1] - upto[s + 1] - 1) / 4)"
+    fits = f"(upto[e + 1] - upto[s + 1] - 1 <= {chars} AND {size} <= {most})"
     end = f"coalesce(list_max(list_filter(range(s + 1, least(len(xs), s + {chars} + 1) + 1), lambda e: {fits})), s + 1)"
     label = lambda k: f"NOT regexp_matches(xs[{k} + 1], '\\p{{Nd}}')"
     return (
@@ -123,6 +127,13 @@ _WORDS = f"CASE WHEN {_OVER} <= coalesce({_FULL}, len(xs) + 1) - 1 THEN {_OVER}
 _STOP = "list_max(list_filter(range(c + 1, len(xs) + 1), lambda e: e = c + 1 OR upto[e + 1] - upto[a + 1] <= target))"
 _BACK = "list_min(list_filter(range(a, e + 1), lambda j: upto[e + 1] - upto[j + 1] <= 60))"
 
+def sql_chunks(tokens, counted: bool = False) -> str:
+    """Chunks of all documents by a count of tokens. TOKENS and PACK stand for it below."""
+    lists = f"tq AS ({sql_prefix('tl', 'doc_id', tokens('x'))}), td AS (SELECT tl.*, tp.upto, tq.upto AS tokens FROM tl JOIN tp USING (doc_id) JOIN tq USING (doc_id))"
+    made = CHUNKS.replace("td AS (SELECT * FROM tl JOIN tp USING (doc_id))", lists) if counted else CHUNKS
+    return re.sub(r"TOKENS\((\w+)\)", lambda m: tokens(m[1]), made).replace("PACK(most)", sql_cuts("tr", "td", "doc_id", sql_pack("most", counted=counted)))
+
+
 CHUNKS = f"""
 b AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, {sql_lines("coalesce(text, '')")} AS body FROM documents),
 f AS ({sql_pairs("b", "doc_id")}),
@@ -130,21 +141,21 @@ h AS (
   SELECT doc_id, body, pairs >= 3 AS is_table, '[Scheme: ' || source || ' | Category: ' || lang || ' | Plan: Direct | Section: Section ' || lang || ']' AS header
   FROM b JOIN f USING (doc_id) WHERE body <> ''
 ), m AS (
-  SELECT *, greatest(1, 240 - {TOKENS("header")} - 1)::BIGINT AS most, least(200, greatest(1, 240 - {TOKENS("header")} - 1))::BIGINT AS target,
+  SELECT *, greatest(1, 240 - TOKENS(header) - 1)::BIGINT AS most, least(200, greatest(1, 240 - TOKENS(header) - 1))::BIGINT AS target,
          {sql_ws("body")} AS norm FROM h
 ),
 tl AS (SELECT doc_id, most, string_split(body, {NEWLINE}) AS xs FROM m WHERE is_table),
 tp AS ({sql_prefix("tl", "doc_id", "length(x) + 1")}), td AS (SELECT * FROM tl JOIN tp USING (doc_id)),
-{sql_cuts("tr", "td", "doc_id", sql_pack("most"))},
-wl AS (SELECT doc_id, most, target, string_split(norm, ' ') AS xs FROM m WHERE NOT is_table AND {TOKENS("norm")} > most),
-wp AS ({sql_prefix("wl", "doc_id", TOKENS("x"))}), wd AS (SELECT * FROM wl JOIN wp USING (doc_id)),
+PACK(most),
+wl AS (SELECT doc_id, most, target, string_split(norm, ' ') AS xs FROM m WHERE NOT is_table AND TOKENS(norm) > most),
+wp AS ({sql_prefix("wl", "doc_id", "TOKENS(x)")}), wd AS (SELECT * FROM wl JOIN wp USING (doc_id)),
 {sql_cuts("wr", "wd", "doc_id", _WORDS)},
 pieces AS (
-  SELECT doc_id, 0 AS piece, norm AS t, target FROM m WHERE NOT is_table AND {TOKENS("norm")} <= most
+  SELECT doc_id, 0 AS piece, norm AS t, target FROM m WHERE NOT is_table AND TOKENS(norm) <= most
   UNION ALL SELECT doc_id, no, array_to_string(xs[s + 1:e], ' '), target FROM wr JOIN wd USING (doc_id)
 ),
 sl AS (SELECT doc_id * 100000 + piece AS pid, doc_id, piece, target, {sql_sentences("t")} AS xs FROM pieces),
-sp AS ({sql_prefix("sl", "pid", TOKENS("x"))}), sd AS (SELECT * FROM sl JOIN sp USING (pid)),
+sp AS ({sql_prefix("sl", "pid", "TOKENS(x)")}), sd AS (SELECT * FROM sl JOIN sp USING (pid)),
 sw AS (
   SELECT pid, 0 AS no, a, ({_STOP})::BIGINT AS e FROM (SELECT *, 0::BIGINT AS a, 0::BIGINT AS c FROM sd WHERE len(xs) > 0)
   UNION ALL
@@ -168,9 +179,15 @@ chunks AS (
 )"""
 
 
+#: By the estimate, and by the rule that a word has a token for every started three characters.
+ESTIMATED = sql_chunks(TOKENS)
+RULE = "pieces:3"
+COUNTED = sql_chunks(lambda x: f"list_sum(list_transform(string_split({x}, ' '), lambda w: (length(w) + 2) // 3))::INT", counted=True)
+
+
 @query(
     f"""
-WITH RECURSIVE {CHUNKS}
+WITH RECURSIVE {ESTIMATED}
 SELECT sha256('https://pages.example/' || doc_id || '|0|' || chunk_index || '|' || body)[:16] AS chunk_id, doc_id::VARCHAR AS scheme_id,
        chunk_index, is_table, sha256(body) AS content_sha256 FROM chunks
 """
@@ -182,7 +199,20 @@ def chunk_windows(spark, d):
 
 @query(
     f"""
-WITH RECURSIVE {CHUNKS}
+WITH RECURSIVE {COUNTED}
+SELECT sha256('https://pages.example/' || doc_id || '|0|' || chunk_index || '|' || body)[:16] AS chunk_id, doc_id::VARCHAR AS scheme_id,
+       chunk_index, is_table, sha256(body) AS content_sha256 FROM chunks
+"""
+)
+def chunk_counted(spark, d):
+    """All chunks of all documents, by a tokenizer's counts."""
+    made = chunking.chunk_documents(built(spark, d), Settings(tokenizer=RULE))
+    return made.select("chunk_id", "scheme_id", "chunk_index", "is_table", "content_sha256")
+
+
+@query(
+    f"""
+WITH RECURSIVE {ESTIMATED}
 SELECT doc_id::VARCHAR AS scheme_id, count(*) AS n_chunks, count(*) FILTER (is_table) AS n_tables, min(n) AS min_tokens, max(n) AS max_tokens,
        (sum(n) // count(*))::BIGINT AS mean_tokens
 FROM (SELECT doc_id, c.is_table, {TOKENS("header || chr(10) || c.body")} AS n FROM chunks c JOIN m USING (doc_id)) GROUP BY doc_id

@@ -3,7 +3,11 @@
 The steps are: small sections merged into the next; tables packed by lines with
 labels kept next to their values; prose packed by words and windowed by sentences
 with an overlap; repeated prose dropped; pieces numbered through the document.
-All of it is one projection: rows are never regrouped.
+All of it is one projection: rows are never regrouped. Sequential rules give out places where
+an array is cut, in time proportional to its length; texts are joined afterwards.
+
+Tokens are estimated from characters, or counted by the tokenizer in the settings, which must
+count a text as the sum of its words between white space, as word-piece models do.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from citewell.functions.text import (
     split_sentences,
     strip,
 )
+from citewell.operators.folds import INTS, cut, emitted, ints, running
+from citewell.operators.tokens import counted, sized
 
 PARTS = "array<string>"
 SECTION = "struct<section_title:string,heading_level:int,text:string,is_table:boolean,order:int>"
+COUNTED = SECTION[:-1] + ",tokens:array<int>>"
+RUN = "struct<text:string,tokens:array<int>>"
 MARK = "[Scheme:"
 
 
@@ -34,225 +42,292 @@ def _empty() -> Column:
     return F.array().cast(PARTS)
 
 
-def merge_small_sections(sections: Column, s: Settings = Settings()) -> Column:
-    """A section under the minimum takes in the next ones, unless one is a table and
-    the other not, or both together are too long."""
-    zero = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.lit(None).cast(SECTION).alias("open"))
-
-    def step(acc: Column, nxt: Column) -> Column:
-        open_, joined = acc["open"], F.concat(acc["open"]["text"], F.lit("\n"), nxt["text"])
-        takes = (
-            (count_tokens(open_["text"], s.chars_per_token) < s.min_section_tokens)
-            & (open_["is_table"] == nxt["is_table"])
-            & (count_tokens(joined, s.chars_per_token) <= s.chunk_max_tokens)
-        )
-        merged = F.struct(
-            F.concat(open_["section_title"], F.lit(" / "), nxt["section_title"]).alias("section_title"),
-            open_["heading_level"].alias("heading_level"),
-            joined.alias("text"),
-            open_["is_table"].alias("is_table"),
-            open_["order"].alias("order"),
-        ).cast(SECTION)
-        state = lambda done, now: F.struct(done.cast(f"array<{SECTION}>").alias("done"), now.cast(SECTION).alias("open"))
-        return (
-            F.when(open_.isNull(), state(acc["done"], nxt))
-            .when(takes, state(acc["done"], merged))
-            .otherwise(state(F.concat(acc["done"], F.array(open_)), nxt))
-        )
+def _words(text: Column) -> Column:
+    """Words between white space, the same in a text and in its normalised lines and sentences."""
+    return let(normalize_ws(text), lambda t: F.when(t == "", _empty()).otherwise(F.split(t, " ", -1)))
 
-    end = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-    return F.aggregate(sections, zero, step, end)
+
+def _sizes(parts: Column, counts: Column | None, chars: int) -> Column:
+    """Tokens of each part: estimated, or from the counts of the words that the parts, one
+    after another, are made of."""
+    if counts is None:
+        return F.transform(parts, lambda x: count_tokens(x, chars))
+    ends = running(F.transform(parts, lambda x: F.size(_words(x))))
+    return let(
+        F.struct(ends.alias("e"), running(counts).alias("t")),
+        lambda b: F.transform(parts, lambda _, k: (F.get(b["t"], F.get(b["e"], k + 1)) - F.get(b["t"], F.get(b["e"], k))).cast("int")),
+    )
 
 
-def pack_lines(lines: Column, max_chars: Column, max_tokens: Column, chars: int = 4) -> Column:
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda acc, n: acc + n)
+
+
+def merge_small_sections(sections: Column, s: Settings = Settings(), counts: Column | None = None) -> Column:
+    """A section under the minimum takes in the next ones, unless one is a table and
+    the other not, or both together are too long. ``counts`` has, for each section, the tokens
+    of its words; then those of a merged section are in ``tokens``."""
+    kind = "struct<size:int,table:boolean>"
+
+    def of(all_: Column) -> Column:
+        length = lambda i: F.length(F.coalesce(F.get(all_, i)["text"], F.lit("")))
+        own = (lambda i: length(i)) if counts is None else (lambda i: _total(F.get(counts, i)))
+        tokens = (lambda n: F.ceil(n / F.lit(s.chars_per_token))) if counts is None else (lambda n: n)
+        gap = 1 if counts is None else 0  # the line feed between two texts
+
+        def step(open_: Column, i: Column) -> tuple[Column, Column]:
+            def both(size: Column) -> Column:
+                table = F.get(all_, i)["is_table"]
+                joined = open_["size"] + gap + size
+                takes = (tokens(open_["size"]) < s.min_section_tokens) & (open_["table"] == table) & (tokens(joined) <= s.chunk_max_tokens)
+                takes = (i == 0) | F.coalesce(takes, F.lit(False))
+                now = F.when((i > 0) & takes, F.struct(joined.cast("int").alias("size"), open_["table"].alias("table")))
+                now = now.otherwise(F.struct(size.cast("int").alias("size"), table.alias("table"))).cast(kind)
+                return F.struct(now.alias("now"), F.when(takes, ints()).otherwise(ints(i)).alias("out"))
+
+            made = let(own(i), both)
+            return made["now"], made["out"]
+
+        zero = F.struct(F.lit(0).alias("size"), F.lit(False).alias("table")).cast(kind)
+        n = F.size(all_)
+        ends = F.concat(emitted(n, zero, step, kind)["out"], ints(n))
+
+        def merged(ends: Column) -> Column:
+            def section(end: Column, k: Column) -> Column:
+                start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+                part = F.slice(all_, start + 1, end - start)
+                first = F.get(all_, start)
+                fields = [
+                    F.array_join(F.transform(part, lambda x: x["section_title"]), " / ").alias("section_title"),
+                    first["heading_level"].alias("heading_level"),
+                    F.array_join(F.transform(part, lambda x: x["text"]), "\n").alias("text"),
+                    first["is_table"].alias("is_table"),
+                    first["order"].alias("order"),
+                ]
+                if counts is None:
+                    return F.struct(*fields).cast(SECTION)
+                return F.struct(*fields, F.flatten(F.slice(counts, start + 1, end - start)).alias("tokens")).cast(COUNTED)
+
+            return F.transform(ends, section)
+
+        none = F.array().cast(f"array<{SECTION if counts is None else COUNTED}>")
+        return F.when(n > 0, let(ends, merged)).otherwise(none)
+
+    return let(sections, of)
+
+
+def pack_lines(lines: Column, max_chars: Column, max_tokens: Column, chars: int = 4, counts: Column | None = None) -> Column:
     """Longest runs of lines within both budgets; a cut between a label and its
     value moves by one line. A line over budget stays whole."""
-    zero = F.struct(_empty().alias("parts"), F.lit(0).alias("start"))
+    kind = "struct<start:int>"
 
     def of(lines: Column) -> Column:
         n = F.size(lines)
-        # upto[k]: characters of the first k lines, each with its line feed.
-        upto = F.aggregate(
-            lines,
-            F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + F.length(x) + 1).cast("int"))),
-        )
-
-        def cuts(upto: Column) -> Column:
-            def cut(start: Column) -> Column:
-                def fits(end: Column) -> Column:
-                    size = F.get(upto, end) - F.get(upto, start) - 1
-                    return (size <= max_chars) & (F.ceil(size / F.lit(chars)) <= max_tokens)
-
-                last = F.least(n, start + max_chars + 1).cast("int")
-                longest = F.array_max(F.filter(F.sequence(start + 1, last), fits))
-                best = F.coalesce(longest, start + 1)
-
-                def moved(end: Column) -> Column:
-                    label = lambda k: is_bare_label(F.get(lines, k))
-                    apart = (end < n) & ~F.coalesce(label(end), F.lit(True))
-                    return (
-                        F.when(apart & (end - start == 1) & label(start), end + 1)
-                        .when(apart & (end - start > 1) & label(end - 1), end - 1)
-                        .otherwise(end)
-                        .cast("int")
-                    )
-
-                return let(best, moved)
-
-            def step(acc: Column, i: Column) -> Column:
-                def put(end: Column) -> Column:
-                    part = F.array_join(F.slice(lines, acc["start"] + 1, end - acc["start"]), "\n")
-                    return F.struct(F.concat(acc["parts"], F.array(part)).alias("parts"), end.alias("start"))
-
-                return F.when(i == acc["start"], let(cut(acc["start"]), put)).otherwise(acc)
+        label = F.transform(lines, is_bare_label)
+        sizes = F.lit(None).cast("array<int>") if counts is None else running(_sizes(lines, counts, chars))
+        known = F.struct(running(F.transform(lines, lambda x: F.length(x) + 1)).alias("chars"), sizes.alias("tokens"), label.alias("label"))
+
+        def cuts(k: Column) -> Column:
+            def fits(start: Column, end: Column) -> Column:
+                size = F.get(k["chars"], end) - F.get(k["chars"], start) - 1
+                tokens = F.ceil(size / F.lit(chars)) if counts is None else F.get(k["tokens"], end) - F.get(k["tokens"], start)
+                return (size <= max_chars) & (tokens <= max_tokens)
+
+            def step(state: Column, i: Column) -> tuple[Column, Column]:
+                start = state["start"]
+                value = ~F.coalesce(F.get(k["label"], i), F.lit(True))
+                before, alone = F.coalesce(F.get(k["label"], i - 1), F.lit(False)), i - start == 1
+                to = lambda at, *out: F.struct(at.cast("int").alias("start"), ints(*out).alias("out"))
+                moved = (
+                    F.when(value & before & alone, to(i + 1, i + 1))  # a lone label takes its value
+                    # A label goes with its value; if both are too long, they are a run of their own.
+                    .when(value & before & ~fits(i - 1, i + 1), to(i + 1, i - 1, i + 1))
+                    .when(value & before, to(i - 1, i - 1))
+                    .otherwise(to(i, i))
+                )
+                made = F.when((i <= start) | fits(start, i + 1), to(start)).otherwise(moved)
+                return F.struct(made["start"].alias("start")).cast(kind), made["out"]
 
-            return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["parts"])
+            zero = F.struct(F.lit(0).alias("start")).cast(kind)
+            ends = emitted(n, zero, step, kind)["out"]
+            return let(ends, lambda e: cut(lines, F.when(F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0)) < n, F.concat(e, ints(n))).otherwise(e), "\n"))
 
-        return F.when(n > 0, let(upto, cuts)).otherwise(_empty())
+        return F.when(n > 0, let(known, cuts)).otherwise(_empty())
 
     return let(lines, of)
 
 
-def split_table(text: Column, max_chars: Column, max_tokens: Column | None, chars: int = 4) -> Column:
+def split_table(text: Column, max_chars: Column, max_tokens: Column | None, chars: int = 4, counts: Column | None = None) -> Column:
     lines = F.filter(split_lines(text), lambda x: strip(x) != "")
     if max_tokens is None:  # the character cap alone
         short = F.when(F.size(lines) > 0, F.array(text)).otherwise(_empty())
         return F.when(F.length(text) <= max_chars, short).otherwise(
             pack_lines(lines, max_chars, count_tokens(text, chars), chars)
         )
-    return pack_lines(lines, max_chars, max_tokens, chars)
+    return pack_lines(lines, max_chars, max_tokens, chars, counts)
 
 
-def greedy_group(pieces: Column, target: Column, most: Column, joiner: str, chars: int = 4) -> Column:
-    """Runs that end before passing ``most`` tokens or on reaching ``target``.
-
-    The fold goes over token counts and keeps only where runs are cut; the texts are
-    joined afterwards, run by run. Empty pieces are not expected.
-    """
-    cuts_of = "struct<cuts:array<int>,tokens:int>"
-    zero = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("tokens"))
-
-    def cut(sizes: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            n = F.get(sizes, i)
-            over = (acc["tokens"] > 0) & (acc["tokens"] + n > most)
-            base = F.when(over, n).otherwise(acc["tokens"] + n)
-            full = base >= target
-            cuts = (
-                F.when(over & full, F.concat(acc["cuts"], F.array(i, i + 1)))
-                .when(over, F.concat(acc["cuts"], F.array(i)))
-                .when(full, F.concat(acc["cuts"], F.array(i + 1)))
-                .otherwise(acc["cuts"])
-            )
-            return F.struct(cuts.alias("cuts"), F.when(full, 0).otherwise(base).alias("tokens")).cast(cuts_of)
-
-        n = F.size(sizes)
-        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: F.array_distinct(F.concat(acc["cuts"], F.array(n))))
-
-    def joined(p: Column) -> Column:
-        run = lambda c: F.transform(
-            F.slice(c, 2, F.size(c)), lambda end, k: F.array_join(F.slice(p, F.get(c, k) + 1, end - F.get(c, k)), joiner)
-        )
-        return F.when(F.size(p) > 0, let(let(F.transform(p, lambda x: count_tokens(x, chars)), cut), run)).otherwise(_empty())
+def _groups(sizes: Column, target: Column, most: Column) -> Column:
+    """Where runs end that stop before passing ``most`` tokens or on reaching ``target``."""
+    kind = "struct<tokens:int>"
 
-    return let(pieces, joined)
+    def step(state: Column, i: Column) -> tuple[Column, Column]:
+        n = F.get(sizes, i)
+        over = (state["tokens"] > 0) & (state["tokens"] + n > most)
+        base = F.when(over, n).otherwise(state["tokens"] + n)
+        full = base >= target
+        out = F.when(over & full, ints(i, i + 1)).when(over, ints(i)).when(full, ints(i + 1)).otherwise(ints())
+        return F.struct(F.when(full, 0).otherwise(base).cast("int").alias("tokens")).cast(kind), out
 
+    n = F.size(sizes)
+    ends = emitted(n, F.struct(F.lit(0).alias("tokens")).cast(kind), step, kind)["out"]
+    return let(ends, lambda e: F.when(F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0)) < n, F.concat(e, ints(n))).otherwise(e))
 
-def split_prose(text: Column, target: Column, most: Column, chars: int = 4) -> Column:
-    """The normalised text, whole or as runs of words."""
+
+def greedy_group(pieces: Column, target: Column, most: Column, joiner: str, chars: int = 4) -> Column:
+    """Runs that end before passing ``most`` tokens or on reaching ``target``, joined.
+    Empty pieces are not expected."""
     return let(
-        normalize_ws(text),
-        lambda t: F.when(t == "", _empty())
-        .when(count_tokens(t, chars) <= most, F.array(t))
-        .otherwise(greedy_group(F.split(t, " ", -1), target, most, " ", chars)),
+        pieces,
+        lambda p: F.when(F.size(p) > 0, let(let(_sizes(p, None, chars), lambda z: _groups(z, target, most)), lambda e: cut(p, e, joiner))).otherwise(_empty()),
     )
 
 
-def sliding_windows(text: Column, target: Column, overlap: int, chars: int = 4) -> Column:
-    """Windows of whole sentences; each begins with the last sentences of the one
-    before, as many as fit the overlap."""
+def _runs(text: Column, target: Column, most: Column, chars: int, counts: Column | None) -> Column:
+    """The normalised text, whole or as runs of words: array<struct<text, tokens>>, with the
+    counts of each run's words (null if they are estimated)."""
+    kind, none = RUN, F.array().cast(f"array<{RUN}>")
 
-    def carried(now: Column) -> Column:
-        zero = F.struct(_empty().alias("keep"), F.lit(0).alias("tokens"), F.lit(False).alias("full"))
+    def of(t: Column) -> Column:
+        size = count_tokens(t, chars) if counts is None else _total(counts)
+        whole = F.array(F.struct(t.alias("text"), (F.lit(None) if counts is None else counts).cast(INTS).alias("tokens")).cast(kind))
 
-        def step(acc: Column, x: Column) -> Column:
-            n = acc["tokens"] + count_tokens(x, chars)
-            stop = acc["full"] | (n > overlap)
-            return F.struct(
-                F.when(stop, acc["keep"]).otherwise(F.concat(F.array(x), acc["keep"])).cast(PARTS).alias("keep"),
-                F.when(stop, acc["tokens"]).otherwise(n).cast("int").alias("tokens"),
-                stop.alias("full"),
-            )
+        def words(w: Column) -> Column:
+            sizes = F.transform(w, lambda x: count_tokens(x, chars)) if counts is None else counts
 
-        return F.aggregate(F.reverse(now), zero, step)
+            def joined(ends: Column) -> Column:
+                def run(end: Column, k: Column) -> Column:
+                    start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+                    own = F.lit(None) if counts is None else F.slice(counts, start + 1, end - start)
+                    return F.struct(F.array_join(F.slice(w, start + 1, end - start), " ").alias("text"), own.cast(INTS).alias("tokens")).cast(kind)
 
-    zero = F.struct(_empty().alias("windows"), _empty().alias("now"), F.lit(0).alias("tokens"))
+                return F.transform(ends, run)
 
-    def state(windows: Column, now: Column, tokens: Column) -> Column:
-        return F.struct(
-            windows.cast(PARTS).alias("windows"), now.cast(PARTS).alias("now"), tokens.cast("int").alias("tokens")
-        )
+            return let(let(sizes, lambda z: _groups(z, target, most)), joined)
 
-    def step(acc: Column, sentence: Column) -> Column:
-        n = count_tokens(sentence, chars)
-        over = (F.size(acc["now"]) > 0) & (acc["tokens"] + n > target)
-        fresh = let(
-            carried(acc["now"]),
-            lambda c: state(F.concat(acc["windows"], F.array(F.array_join(acc["now"], " "))), c["keep"], c["tokens"]),
-        )
-        base = F.when(over, fresh).otherwise(acc)
-        return let(base, lambda b: state(b["windows"], F.concat(b["now"], F.array(sentence)), b["tokens"] + n))
+        return F.when(t == "", none).when(size <= most, whole).otherwise(let(F.split(t, " ", -1), words))
 
-    def end(acc: Column) -> Column:
-        tail = F.array_join(acc["now"], " ")
-        last = F.get(acc["windows"], F.size(acc["windows"]) - 1)
-        same = F.coalesce(last == tail, F.lit(False))
-        return F.when((F.size(acc["now"]) == 0) | same, acc["windows"]).otherwise(F.concat(acc["windows"], F.array(tail)))
+    return let(normalize_ws(text), of)
 
-    return let(
-        normalize_ws(text),
-        lambda t: F.when(t == "", _empty()).otherwise(F.aggregate(split_sentences(t), zero, step, end)),
-    )
+
+def split_prose(text: Column, target: Column, most: Column, chars: int = 4) -> Column:
+    """The normalised text, whole or as runs of words."""
+    return F.transform(_runs(text, target, most, chars, None), lambda r: r["text"])
+
+
+def sliding_windows(text: Column, target: Column, overlap: int, chars: int = 4, counts: Column | None = None) -> Column:
+    """Windows of whole sentences; each begins with the last sentences of the one
+    before, as many as fit the overlap."""
+    kind = "struct<start:int>"
+
+    def of(sentences: Column) -> Column:
+        n = F.size(sentences)
+
+        def windows(upto: Column) -> Column:
+            held = lambda a, b: F.get(upto, b) - F.get(upto, a)
+
+            def step(state: Column, i: Column) -> tuple[Column, Column]:
+                start = state["start"]
+                over = (i > start) & (held(start, i + 1) > target)
+                carried = F.array_min(F.filter(F.sequence(start, i), lambda k: held(k, i) <= overlap))
+                now = F.when(over, carried).otherwise(start)
+                return F.struct(now.cast("int").alias("start")).cast(kind), F.when(over, ints(start, i)).otherwise(ints())
+
+            def texts(done: Column) -> Column:
+                at = F.concat(done["out"], F.when(done["state"]["start"] < n, ints(done["state"]["start"], n)).otherwise(ints()))
+                pairs = lambda a: F.transform(
+                    F.sequence(F.lit(0), (F.size(a) / 2).cast("int") - 1),
+                    lambda k: F.array_join(F.slice(sentences, F.get(a, 2 * k) + 1, F.get(a, 2 * k + 1) - F.get(a, 2 * k)), " "),
+                )
+                made = let(at, lambda a: F.when(F.size(a) > 0, pairs(a)).otherwise(_empty()))
+                again = lambda w: (F.size(w) > 1) & (F.try_element_at(w, F.lit(-1)) == F.get(w, F.size(w) - 2))
+                return let(made, lambda w: F.when(again(w), F.slice(w, 1, F.size(w) - 1)).otherwise(w))
+
+            zero = F.struct(F.lit(0).alias("start")).cast(kind)
+            return let(emitted(n, zero, step, kind), texts)
+
+        return F.when(n > 0, let(running(_sizes(sentences, counts, chars)), windows)).otherwise(_empty())
+
+    return let(normalize_ws(text), lambda t: F.when(t == "", _empty()).otherwise(let(split_sentences(t), of)))
 
 
 def pieces(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs with ``pieces``: array of section, order, is_table and raw text."""
-    rows = docs.withColumn("_merged", merge_small_sections(F.col("sections"), s))
+    """docs with ``pieces``: array of section, order, is_table and raw text.
+
+    With a tokenizer in the settings, two passes of Arrow batches count the words of sections
+    and of headers; the folds take these counts in place of the estimate."""
+    exact = s.tokens_are_exact
+    rows = docs
+    if exact:
+        rows = counted(rows, F.transform("sections", lambda x: _words(x["text"])), "_counts", s)
+    rows = rows.withColumn("_merged", merge_small_sections(F.col("sections"), s, F.col("_counts") if exact else None))
     header = lambda sec: context_header(F.col("scheme_name"), F.col("category"), F.col("plan"), sec["section_title"])
-    budget = lambda sec: body_budget(header(sec), s.chunk_max_tokens)
-
-    def of(sec: Column) -> Column:
-        def parts(most: Column) -> Column:
-            target = F.least(F.lit(s.chunk_target_tokens), most)
-            prose = F.flatten(
-                F.transform(
-                    split_prose(sec["text"], target, most, s.chars_per_token),
-                    lambda p: sliding_windows(p, target, s.chunk_overlap_tokens, s.chars_per_token),
-                )
-            )
-            table = split_table(sec["text"], F.lit(s.max_table_chars), most, s.chars_per_token)
-            return F.when(sec["is_table"], table).otherwise(prose)
+    if exact:
+        rows = counted(rows.drop("_counts"), F.transform("_merged", lambda x: _words(header(x))), "_heads", s)
+    else:
+        rows = rows.withColumn("_heads", F.lit(None).cast("array<array<int>>"))
+
+    def most(sec: Column, i: Column) -> Column:
+        if exact:
+            return F.greatest(F.lit(1), F.lit(s.chunk_max_tokens) - _total(F.get("_heads", i)) - 1)
+        return body_budget(header(sec), s.chunk_max_tokens)
+
+    # Each step goes over the array of the step before, so that none is computed twice.
+    rows = rows.withColumn("_sized", F.transform("_merged", lambda sec, i: F.struct(sec.alias("sec"), most(sec, i).alias("most")))).drop("_merged", "_heads")
+
+    def runs(x: Column) -> Column:
+        sec, counts = x["sec"], x["sec"]["tokens"] if exact else None
+        target = F.least(F.lit(s.chunk_target_tokens), x["most"])
+        table = F.transform(
+            split_table(sec["text"], F.lit(s.max_table_chars), x["most"], s.chars_per_token, counts),
+            lambda t: F.struct(t.alias("text"), F.lit(None).cast(INTS).alias("tokens")).cast(RUN),
+        )
+        prose = _runs(sec["text"], target, x["most"], s.chars_per_token, counts)
+        return F.struct(
+            sec["section_title"].alias("section"), sec["order"].alias("order"), sec["is_table"].alias("is_table"), target.alias("target"),
+            F.when(sec["is_table"], table).otherwise(prose).alias("runs"),
+        )
+
+    rows = rows.withColumn("_runs", F.transform("_sized", runs)).drop("_sized")
 
+    def bodies(x: Column) -> Column:
+        window = lambda r: sliding_windows(r["text"], x["target"], s.chunk_overlap_tokens, s.chars_per_token, r["tokens"] if exact else None)
+        texts = F.flatten(F.transform(x["runs"], lambda r: F.when(x["is_table"], F.array(r["text"])).otherwise(window(r))))
         return F.transform(
-            let(budget(sec), parts),
+            texts,
             lambda p: F.struct(
-                sec["section_title"].alias("section"),
-                sec["order"].alias("order"),
-                sec["is_table"].alias("is_table"),
-                normalize_lines(p).alias("body"),
+                x["section"].alias("section"), x["order"].alias("order"), x["is_table"].alias("is_table"), normalize_lines(p).alias("body")
             ),
         )
 
-    rows = rows.withColumn("_all", F.flatten(F.transform("_merged", of))).drop("_merged")
+    rows = rows.withColumn("_all", F.flatten(F.transform("_runs", bodies))).drop("_runs")
     return rows.withColumn("pieces", dedupe_pieces(F.col("_all"))).drop("_all")
 
 
 def dedupe_pieces(all_: Column) -> Column:
     """Prose that an earlier piece of the document already has goes; tables stay."""
-    keys = F.transform(all_, lambda p: F.when(~p["is_table"], p["body"]))
-    first = lambda p, i: p["is_table"] | (F.array_position(keys, p["body"]) == i + 1)
-    return F.filter(all_, first)
+
+    def of(every: Column) -> Column:
+        marked = F.transform(every, lambda p, i: F.struct(p["is_table"].alias("table"), p["body"].alias("body"), i.alias("i")))
+
+        def kept(m: Column) -> Column:  # in order of kind, body and place: a repeat stands behind its first
+            new = lambda x, k: x["table"] | (k == 0) | F.get(m, k - 1)["table"] | (F.get(m, k - 1)["body"] != x["body"])
+            first = F.filter(F.transform(m, lambda x, k: F.when(F.coalesce(new(x, k), F.lit(True)), x["i"])), lambda i: i.isNotNull())
+            return F.transform(F.sort_array(first), lambda i: F.get(every, i))
+
+        return let(F.sort_array(marked), kept)
+
+    return let(all_, of)
 
 
 def chunk_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -291,19 +366,18 @@ REQUIRED = (
 def violations(chunks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """chunk_id and violation: reported, not raised."""
     tests = [
-        F.when(count_tokens("embed_text", s.chars_per_token) > s.chunk_max_tokens, "over_limit"),
+        F.when(F.col("_tokens") > s.chunk_max_tokens, "over_limit"),
         F.when(~F.startswith("embed_text", F.lit(MARK)), "no_header"),
         F.when(F.contains("display_text", F.lit(MARK)), "header_leak"),
         *(F.when(F.coalesce(strip(F.col(c)), F.lit("")) == "", F.lit(f"empty_{c}")) for c in REQUIRED),
     ]
     found = F.filter(F.array(*tests), lambda v: v.isNotNull())
-    return chunks.select("chunk_id", F.explode(found).alias("violation"))
+    return sized(chunks, "embed_text", "_tokens", s).select("chunk_id", F.explode(found).alias("violation"))
 
 
 def chunk_report(chunks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Chunks, tables and token sizes of each scheme."""
-    sized = chunks.select("scheme_id", "is_table", count_tokens("embed_text", s.chars_per_token).alias("n"))
-    return sized.groupBy("scheme_id").agg(
+    return sized(chunks.select("scheme_id", "is_table", "embed_text"), "embed_text", "n", s).groupBy("scheme_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.count_if("is_table").alias("n_tables"),
         F.min("n").alias("min_tokens"),

@@ -110,13 +110,17 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of numbers as rows; they must be equally long."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(array.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {sizes.min()} to {sizes.max()} numbers in one column")
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(array), -1)
 
 
-class _Best:
+class Best:
     """The best rows of each question so far: similarities, and keys beside them."""
 
     def __init__(self, questions: int, n: int):
@@ -139,8 +143,8 @@ class _Best:
 def _search(sent, n, key, vector, question, question_vector, filter_by, least, exclude_self):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: pa.Table = sent.value
-        wanted, ids = _matrix(block[question_vector]), block[question].to_pylist()
-        best, kind = _Best(len(ids), n), None
+        wanted, ids = matrix(block[question_vector]), block[question].to_pylist()
+        best, kind = Best(len(ids), n), None
         codes: dict = {}
         code = lambda values: np.array([-1 if v is None else codes.setdefault(v, len(codes)) for v in values])
         limits = code(block[filter_by].to_pylist()) if filter_by else None
@@ -150,7 +154,7 @@ def _search(sent, n, key, vector, question, question_vector, filter_by, least, e
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, own, rows = batch.column(key).type, batch.column(key).to_pylist(), _matrix(batch.column(vector))
+            kind, own, rows = batch.column(key).type, batch.column(key).to_pylist(), matrix(batch.column(vector))
             labels = code(batch.column(filter_by).to_pylist()) if filter_by else None
             step = max(1, TILE_BYTES // (8 * len(own)))
             selves = [(own_place[k], j) for j, k in enumerate(own) if k in own_place]
@@ -246,16 +250,22 @@ def citation_url(source_url: str | Column) -> Column:
     return normalize_url(source_url)
 
 
-def retrieve(questions: DataFrame, corpus: DataFrame, s: Settings = Settings(), empty_check: bool = True) -> DataFrame:
+def retrieve(questions: DataFrame, corpus: DataFrame, s: Settings = Settings(), empty_check: bool = True, index=None) -> DataFrame:
     """query_id, rank, chunk columns, similarity, mmr_score for questions that have
     query_id, embedding and scheme_id (null: all schemes).
 
     ``corpus`` has the chunk columns, embedding and body_embedding. Only keys and
-    similarities take part in the search; the few rows found fetch the rest.
+    similarities take part in the search; the few rows found fetch the rest. With an
+    ``index`` over the corpus (``operators.index``, filtered by scheme_id) only the lists
+    near each question are read.
     """
     if empty_check and corpus.isEmpty():
         raise CorpusEmptyError("the corpus has no chunks")
-    found = nearest(corpus, questions, max(1, s.over_fetch), filter_by="scheme_id", least=s.min_similarity)
+    n = max(1, s.over_fetch)
+    if index is not None:
+        found = index.search(questions, n, least=s.min_similarity)
+    else:
+        found = nearest(corpus, questions, n, filter_by="scheme_id", least=s.min_similarity)
     # The corpus is joined by key: its side is filtered to what was found.
     rows = corpus.drop("embedding").join(found, "chunk_id")
     rows = rows.withColumn("text", strip_context_header("display_text"))
