@@ -23,3 +23,7 @@ class CorpusEmptyError(CitewellError):
 
 class GenerationError(CitewellError):
     """The language model failed in a way that has no fallback."""
+
+
+class ConflictError(CitewellError):
+    """Another writer has committed the version that a write was made from."""

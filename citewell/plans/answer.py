@@ -20,8 +20,10 @@ from citewell.operators import enforce as rules
 from citewell.operators import generate as writers
 from citewell.operators import retrieve as search
 from citewell.operators import store
+from citewell.operators.buckets import Version
 from citewell.operators.encode import Loader, encode
 from citewell.operators.enforce import ACTIONS, CITATION, ERROR, FACTUAL, NOT_FOUND, REFUSAL
+from citewell.operators.index import Index
 
 STATIC = "static"
 #: Our wording.
@@ -137,6 +139,13 @@ def factual(rows: DataFrame, s: Settings, client: writers.ClientLoader | None =
     return checked.withColumn("recorded", F.lit(True)).select(*ANSWER)
 
 
+def facts_of(corpus: DataFrame) -> tuple[str | None, str]:
+    """The last date and the fingerprint, by one pass over dates and ids."""
+    date = F.max(F.when(F.col("fetched_at") != "", F.col("fetched_at"))).alias("last")
+    one = corpus.agg(date).join(store.set_fingerprint(corpus)).first()
+    return one["last"], one["fingerprint"]
+
+
 def answer(
     questions: DataFrame,
     corpus: DataFrame,
@@ -148,22 +157,24 @@ def answer(
     dimensions: int | None = None,
     client: writers.ClientLoader | None = None,
     education: str = EDUCATION_URL,
+    version: Version | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """One answer per question (query_id, query). ``corpus`` has the chunk columns,
-    embedding and body_embedding, made by the same encoder."""
+    embedding and body_embedding, made by the same encoder. Of a corpus read from a store of
+    buckets, ``version`` gives date and fingerprint, and no row is read for them; ``index``
+    over it is searched in place of all rows."""
     # Stored once, redacted: every branch below starts from what the guard says.
     rows = store.checkpointed(guarded(questions, aliases).select("query_id", "query", "guard", "scheme_id"))
-    facts = corpus.agg(F.max(F.when(F.col("fetched_at") != "", F.col("fetched_at"))).alias("max_fetched_at"))
-    facts = facts.join(store.set_fingerprint(corpus).withColumnRenamed("fingerprint", "corpus_fingerprint"))
-    one = facts.first()
-    rows = rows.withColumn("max_fetched_at", F.lit(one.max_fetched_at).cast("string"))
-    rows = rows.withColumn("corpus_fingerprint", F.lit(one.corpus_fingerprint))
+    last, print_ = (version.max_fetched_at, version.fingerprint) if version else facts_of(corpus)
+    rows = rows.withColumn("max_fetched_at", F.lit(last).cast("string"))
+    rows = rows.withColumn("corpus_fingerprint", F.lit(print_))
     refused = refusals(rows, manifest, education)
     open_ = rows.where(F.col("guard.action") == guard.ANSWER)
-    if store.is_empty(corpus):
+    if not version.rows if version else store.is_empty(corpus):
         return refused.unionByName(error_answers(open_, SETUP, ["corpus_empty"]))
     asked = encode(open_, "query", "embedding", load, dimensions or s.dimensions)
-    found = search.results(asked, search.retrieve(asked, corpus, s, empty_check=False))
+    found = search.results(asked, search.retrieve(asked, corpus, s, empty_check=False, index=index))
     open_ = open_.drop("max_similarity").join(found.drop("filtered_scheme_id"), "query_id")
     return (
         refused.unionByName(not_found(open_.where("is_empty"), manifest, education))
