@@ -21,7 +21,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,8 @@ class Version:
     number: int
     columns: str
     buckets: dict[int, Bucket]
+    #: The last batch that each named stream has committed.
+    batches: dict[str, int] = field(default_factory=dict)
 
     @property
     def rows(self) -> int:
@@ -122,7 +124,7 @@ class BucketStore:
                 raise ConflictError(f"version {number} was begun and not finished; release({number}) gives it up")
             time.sleep(0.05)
         made = json.loads(self._get(f"manifests/{text}"))
-        return Version(number, made["columns"], {int(k): Bucket(**b) for k, b in made["buckets"].items()})
+        return Version(number, made["columns"], {int(k): Bucket(**b) for k, b in made["buckets"].items()}, made["batches"])
 
     def release(self, number: int) -> None:
         """Give up a version that a writer began and did not finish."""
@@ -134,14 +136,15 @@ class BucketStore:
     def commit(self, base: Version, made: Version) -> Version:
         """``made`` as the version after ``base``; ``ConflictError`` if there is one."""
         name = f"{uuid.uuid4().hex}.json"
-        self._put(f"manifests/{name}", json.dumps({"columns": made.columns, "buckets": {k: asdict(b) for k, b in made.buckets.items()}}))
+        buckets = {k: asdict(b) for k, b in made.buckets.items()}
+        self._put(f"manifests/{name}", json.dumps({"columns": made.columns, "buckets": buckets, "batches": made.batches}))
         try:
             self._put(f"versions/{base.number + 1:0{DIGITS}d}", name)
         except Exception as e:
             if "exist" in str(e).lower():
                 raise ConflictError(f"version {base.number + 1} has been committed by another writer") from e
             raise
-        return Version(base.number + 1, made.columns, made.buckets)
+        return replace(made, number=base.number + 1)
 
     # Rows -------------------------------------------------------------------------------
 
@@ -190,7 +193,7 @@ class BucketStore:
                 changed.select("bucket", self.scheme).distinct().write.parquet(f"{self.path}/schemes/{write}")
         kept = {k: b for k, b in base.buckets.items() if touched is not None and k not in set(touched)}
         made = {k: base.buckets[k] if k in same else Bucket(write, b.rows, b.content, b.ids, b.last) for k, b in found.items()}
-        return Version(base.number, columns, kept | made)
+        return Version(base.number, columns, kept | made, base.batches)
 
     def _again(self, once: Callable[[], Version | None], attempts: int) -> Version | None:
         for k in range(attempts):
@@ -214,9 +217,16 @@ class BucketStore:
 
         return self._again(once, attempts)
 
-    def merge(self, batch: DataFrame, deleted: DataFrame | None = None, position: str | None = None, attempts: int = ATTEMPTS) -> Version | None:
+    def merge(
+        self, batch: DataFrame, deleted: DataFrame | None = None, position: str | None = None, attempts: int = ATTEMPTS,
+        stream: tuple[str, int] | None = None,
+    ) -> Version | None:
         """Insert and update the batch's rows and take out the ids of ``deleted``; the rest
-        stays. Only buckets that hold one of these ids are read. A schema must stay as it is."""
+        stays. Only buckets that hold one of these ids are read. A schema must stay as it is.
+        ``stream`` is a stream's name and the number of its batch: one that has been committed,
+        or one before it, changes nothing (None)."""
+        if stream and self.version().batches.get(stream[0], -1) >= stream[1]:
+            return None
         rows = batch if position is None else first_by_id(batch, position, self.key)
         ids = rows.select(self.key) if deleted is None else rows.select(self.key).unionByName(deleted.select(self.key))
         ids = durable(ids.distinct(), "store-ids")
@@ -224,13 +234,17 @@ class BucketStore:
         if not touched:
             return None
 
-        def once() -> Version:
+        def once() -> Version | None:
             base = self.version()
+            if stream and base.batches.get(stream[0], -1) >= stream[1]:
+                return None
             old = self.read(base, touched)
             if old is None:
-                return self.commit(base, self._stored(base, rows))
-            whole = old.join(ids, self.key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
-            return self.commit(base, self._stored(base, whole, touched))
+                made = self._stored(base, rows)
+            else:
+                whole = old.join(ids, self.key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+                made = self._stored(base, whole, touched)
+            return self.commit(base, replace(made, batches=base.batches | dict([stream] if stream else [])))
 
         return self._again(once, attempts)
 
