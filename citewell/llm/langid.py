@@ -67,8 +67,15 @@ def _word() -> re.Pattern:
     return re.compile(f"[{letter}][{letter}{mark}]*")
 
 
+#: What takes more than the pattern of Latin texts, which have no marks and six numbers
+#: that are no digits; general punctuation takes no more.
+BEYOND = re.compile("[^\x00-\u024f\u2000-\u206f]")
+LATIN = re.compile(r"[^\W\d_²³¹¼½¾]+")
+
+
 def words_of(text: str) -> list[str]:
-    return _word().findall(text.lower())
+    low = text.lower()
+    return (_word() if BEYOND.search(low) else LATIN).findall(low)
 
 
 def grams_of(word: str) -> Iterator[str]:
