@@ -40,7 +40,7 @@ def resolve_scheme(questions: DataFrame, aliases: DataFrame, query: str = "query
     pattern per scheme, and nothing is joined. Longer lists are looked up by word: an
     alias meets the questions that have its first word, and only then is it searched.
     """
-    named = aliases.where("alias IS NOT NULL AND scheme_id IS NOT NULL").select("scheme_id", F.lower("alias").alias("alias")).distinct()
+    named = aliases.where("alias <> '' AND scheme_id IS NOT NULL").select("scheme_id", F.lower("alias").alias("alias")).distinct()
     text = F.lower(F.coalesce(F.col(query), F.lit("")))
     found = named.limit(few + 1).collect()
     if len(found) > few:
@@ -55,13 +55,30 @@ def resolve_scheme(questions: DataFrame, aliases: DataFrame, query: str = "query
 
 
 def _looked_up(questions: DataFrame, named: DataFrame, text: Column) -> DataFrame:
-    """By an equality join of words; questions of one wording are resolved once."""
-    words = lambda x: F.array_append(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))), F.lit(""))
-    first = F.get(words(F.col("alias")), F.lit(0))  # "" for an alias without a word
-    keyed = named.select("scheme_id", first.alias("_word"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)")).alias("_pattern"))
+    """By an equality join: an alias is filed under the one of its words that the fewest
+    questions have, so a word that many have ("the") draws none but those that have no other. An
+    alias without a word is filed under its rarest character. Questions of one wording
+    are resolved once."""
+    words = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
+    signs = lambda x: F.array_distinct(F.filter(F.split(x, "(?s)(?!^)(?=.)", -1), lambda c: c != ""))
     asked = questions.select(text.alias("_text")).distinct()
-    hits = asked.select("_text", F.explode(words(F.col("_text"))).alias("_word")).join(keyed, "_word").where(F.call_function("rlike", F.col("_text"), F.col("_pattern")))
-    one = hits.groupBy("_text").agg(F.min("scheme_id").alias("_least"), F.max("scheme_id").alias("_most")).where("_least = _most")
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    named = named.withColumn("_words", words(F.col("alias"))).withColumn("_pattern", quoted)
+
+    def hits(aliases: DataFrame, parts) -> DataFrame:
+        offered = asked.select("_text", F.explode(parts(F.col("_text"))).alias("_key"))
+        often = offered.groupBy("_key").agg(F.count(F.lit(1)).alias("_often"))
+        keys = aliases.select("scheme_id", "_pattern", F.explode(parts(F.col("alias"))).alias("_key"))
+        # A key that no question has is the rarest: its alias is in none of them.
+        rarest = keys.join(often, "_key", "left").groupBy("scheme_id", "_pattern").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_key")).alias("_r"))
+        filed = rarest.where("_r.n > 0").select("scheme_id", "_pattern", F.col("_r._key").alias("_key"))
+        return offered.join(filed, "_key").where(F.call_function("rlike", F.col("_text"), F.col("_pattern"))).select("_text", "scheme_id")
+
+    found = hits(named.where(F.size("_words") > 0), words)
+    loose = named.where((F.size("_words") == 0) & (F.col("alias") != ""))
+    if not loose.isEmpty():
+        found = found.unionByName(hits(loose, signs))
+    one = found.groupBy("_text").agg(F.min("scheme_id").alias("_least"), F.max("scheme_id").alias("_most")).where("_least = _most")
     joined = questions.withColumn("_text", text).join(one.select("_text", F.col("_least").alias("_scheme")), "_text", "left")
     return joined.withColumn("scheme_id", F.col("_scheme")).drop("_text", "_scheme")
 

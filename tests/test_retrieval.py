@@ -104,7 +104,7 @@ def test_aliases_folded_or_looked_up(spark, few):
 
     rng = random.Random(3)
     words = ["large", "cap", "caps", "a+b", "é", "x_y", "tax", "fund", "\\E", "++", "Small"]
-    aliases = [(f"s{k % 9}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for k in range(60)] + [("n", None), (None, "cap")]
+    aliases = [(f"s{k % 9}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for k in range(60)] + [("n", None), (None, "cap"), ("w", "₹!"), ("w", "😀"), ("e", "")]
     texts = [None, "", *("".join(rng.choice(words) + rng.choice([" ", " ", ".", "", "-"]) for _ in range(rng.randint(1, 6))) for _ in range(300))]
     df = spark.createDataFrame(list(enumerate([*texts, texts[5]])), "k int, query string")
     got = {r.k: r.scheme_id for r in retrieve.resolve_scheme(df, spark.createDataFrame(aliases, "scheme_id string, alias string"), few=few).collect()}
