@@ -51,16 +51,18 @@ def hashing(text: str | Column, dimensions: int = Settings.dimensions) -> Column
     return vectors(hashed(content_tokens(text)))
 
 
-def with_model(text: str | Column, load: Loader, dimensions: int) -> Column:
+def with_model(text: str | Column, load: Loader, dimensions: int, double: bool = False) -> Column:
+    """Unit rows in single precision, or with ``double`` as the model gives them."""
     ship()
+    kind = np.float64 if double else np.float32
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType() if double else T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for batch in batches:
             texts = batch.fillna("").tolist()
-            parts = [np.asarray(encode(texts[k : k + BATCH]), dtype=np.float32) for k in range(0, len(texts), BATCH)]
-            found = np.concatenate(parts) if parts else np.zeros((0, dimensions), dtype=np.float32)
+            parts = [np.asarray(encode(texts[k : k + BATCH]), dtype=kind) for k in range(0, len(texts), BATCH)]
+            found = np.concatenate(parts) if parts else np.zeros((0, dimensions), dtype=kind)
             if found.shape != (len(texts), dimensions):
                 raise ValueError(f"the encoder gave {found.shape}, not {(len(texts), dimensions)}")
             norm = np.linalg.norm(found, axis=1, keepdims=True)
@@ -69,9 +71,11 @@ def with_model(text: str | Column, load: Loader, dimensions: int) -> Column:
     return vectors(F.col(text) if isinstance(text, str) else text)
 
 
-def encode(rows: DataFrame, text: str, out: str = "embedding", load: Loader | None = None, dimensions: int = Settings.dimensions) -> DataFrame:
-    """``rows`` with a unit vector of ``text``."""
-    vector = hashing(text, dimensions) if load is None else with_model(text, load, dimensions)
+def encode(
+    rows: DataFrame, text: str, out: str = "embedding", load: Loader | None = None, dimensions: int = Settings.dimensions, double: bool = False
+) -> DataFrame:
+    """``rows`` with a unit vector of ``text``; ``double`` is for a given model."""
+    vector = hashing(text, dimensions) if load is None else with_model(text, load, dimensions, double)
     return rows.withColumn(out, vector)
 
 

@@ -160,3 +160,12 @@ def test_settings_from_session(spark):
     finally:
         spark.conf.unset("spark.citewell.top_k")
         spark.conf.unset("spark.citewell.use_mmr")
+
+
+def test_a_models_double_precision_is_kept(spark):
+    """7/40 is not a single: rounded to two places, it must stay on its side."""
+    df = spark.createDataFrame([("x",)], "t string")
+    row = np.array([[7.0, 39.0, 5.0, 1.0, 2.0]])
+    assert np.linalg.norm(row) == 40
+    given = encode(df, "t", load=lambda: lambda texts: row, dimensions=5, double=True).first().embedding
+    assert given[0] == 0.175
