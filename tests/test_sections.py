@@ -89,7 +89,7 @@ def test_build_documents_drops_empty_and_renumbers(spark):
 
 
 def test_references_without_a_semicolon_are_text(spark):
-    page = "<article><h1>A &amp; B&amp</h1><p>" + "word " * 30 + "&lt;x&gt; &ampx; &copy</p></article>"
+    page = "<article><h1>A &amp; B&amp</h1><p>" + "word " * 200 + "&lt;x&gt; &ampx; &copy</p></article>"
     df = spark.createDataFrame([(1, page)], "page_id int, html string")
     one = html.extract_pages(df, whole=True).first().sections[0]
     assert one.section_title == "A & B&amp" and one.text.endswith("word <x> &ampx; &copy")
