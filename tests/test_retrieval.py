@@ -169,3 +169,14 @@ def test_a_models_double_precision_is_kept(spark):
     assert np.linalg.norm(row) == 40
     given = encode(df, "t", load=lambda: lambda texts: row, dimensions=5, double=True).first().embedding
     assert given[0] == 0.175
+
+
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_looked_up_texts_are_not_shuffled_by_word(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieve, "SENT", sent)
+    aliases = spark.createDataFrame([("a", "the"), ("b", "fee of"), ("c", "!!")], "scheme_id string, alias string")
+    df = spark.createDataFrame([(1, "the fee"), (2, "a fee of x"), (3, "so !! y"), (4, "the fee of"), (4, "the fee of"), (5, None)], "k int, query string")
+    done = retrieve.resolve_scheme(df, aliases, few=0).select("k", "scheme_id")
+    assert sorted(map(tuple, done.collect()), key=str) == [(1, "a"), (2, "b"), (3, "c"), (4, None), (4, None), (5, None)]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(sent)
