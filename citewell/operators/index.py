@@ -21,6 +21,7 @@ What is broadcast is centroids: at most ``MOST_LISTS``, a parameter, whatever th
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from citewell import ship
 from citewell.operators.durable import durable
-from citewell.operators.retrieve import Best, matrix, nearest
+from citewell.operators.retrieve import TILE_BYTES, Best, matrix, nearest
 
 #: Rows that centroids are fitted on (in expectation), and lists at most.
 SAMPLE, MOST_LISTS = 100_000, 4096
@@ -46,6 +47,12 @@ TRIALS, NEIGHBOURS, RECALL = 256, 10, 0.95
 SLACK = 1e-6
 
 
+def slices(batch: pa.RecordBatch, numbers: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at a time that ``numbers`` for each of them fit a tile."""
+    step = max(1, TILE_BYTES // (8 * max(1, numbers)))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -67,8 +74,8 @@ def assigned(rows: DataFrame, centroids: np.ndarray, vector: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole, len(sent.value)):
                 similar = unit(matrix(b.column(vector))) @ sent.value.T
                 at = similar.argmax(axis=1)
                 near = similar[np.arange(len(at)), at]
@@ -150,8 +157,10 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, centers, angle = sent.value
-            for b in batches:
-                if not b.num_rows or not len(numbers):
+            # A row meets all lists, and goes out once for each that is chosen.
+            width = (len(numbers) if beyond else min(probes, len(numbers))) * (centers.shape[1] if len(numbers) else 0)
+            for b in (b for whole in batches for b in slices(whole, len(numbers) + width)):
+                if not len(numbers):
                     continue
                 asked = matrix(b.column(vector))
                 near = unit(asked) @ centers.T
@@ -189,17 +198,23 @@ class Index:
             if least is not None:
                 best.floor[:] = least
             if len(ids) and len(keys):
-                similar = matrix(left["_asked"]) @ matrix(right[own]).T
-                good = similar >= best.floor[:, None]
-                if limit:
-                    only, labels = left["_limit"].to_pylist(), np.array(right[limit].to_pylist(), dtype=object)
-                    for q, v in enumerate(only):
-                        if v is not None:
-                            good[q] &= labels == v
-                if exclude_self:
-                    good &= np.array(ids, dtype=object)[:, None] != np.array(keys, dtype=object)[None, :]
-                for q in np.flatnonzero(good.any(axis=1)).tolist():
-                    best.add(q, similar[q], np.flatnonzero(good[q]), keys)
+                wanted, rows = matrix(left["_asked"]), matrix(right[own])
+                only = left["_limit"].to_pylist() if limit else None
+                labels = np.array(right[limit].to_pylist(), dtype=object) if limit else None
+                places = defaultdict(list)
+                for j, k in enumerate(keys if exclude_self else ()):
+                    places[k].append(j)
+                step = max(1, TILE_BYTES // (8 * len(keys)))
+                for a in range(0, len(ids), step):
+                    similar = wanted[a : a + step] @ rows.T
+                    good = similar >= best.floor[a : a + step, None]
+                    for q in range(len(similar)):
+                        if limit and only[a + q] is not None:
+                            good[q] &= labels == only[a + q]
+                        if exclude_self:
+                            good[q, places.get(ids[a + q], [])] = False
+                    for q in np.flatnonzero(good.any(axis=1)).tolist():
+                        best.add(a + q, similar[q], np.flatnonzero(good[q]), keys)
             out = [(ids[q], k, -s) for q, found in enumerate(best.rows) for s, k in found]
             columns = list(zip(*out, strict=True)) or [()] * 3
             types = [left.schema.field("_question").type, right.schema.field(key).type, pa.float64()]

@@ -1,6 +1,7 @@
 """The vector index against a full scan."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,12 @@ def test_retrieve_through_an_index(spark, tmp_path):
         search = staticmethod(lambda q, n, least: built.search(q, n, least=least, exact=True))
 
     assert sorted(map(tuple, retrieve.retrieve(questions, corpus, index=Exact).select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, plain))
+
+
+def test_products_are_tiled(vectors, built, monkeypatch):
+    """Whatever the lists and questions, no product of them is over a tile; results stay."""
+    whole = [rows_of(built.search(asked(vectors), 5, probes=6, exact=e, exclude_self=True)) for e in (False, True)]
+    batch = pa.RecordBatch.from_pydict({"x": list(range(100))})
+    assert [b.num_rows for b in ix.slices(batch, ix.TILE_BYTES // 8 // 30)] == [30, 30, 30, 10]
+    monkeypatch.setattr(ix, "TILE_BYTES", 800)
+    assert [rows_of(built.search(asked(vectors), 5, probes=6, exact=e, exclude_self=True)) for e in (False, True)] == whole
