@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ from citewell.functions.text import count_tokens, normalize_ws
 Count = Callable[[list[str]], list[int]]
 #: Words whose counts a worker remembers.
 REMEMBERED = 1 << 17
+#: Rows whose words a worker holds as arrays at a time; strings are made of distinct words only.
+ROWS = 256
 
 
 def _rule(size: str) -> Count:
@@ -60,6 +64,12 @@ def loader(name: str) -> Callable[[], Count]:
     return lambda: load(rest)
 
 
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    """Where each list begins among all values, and the end; a null one is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
 def counted(rows: DataFrame, words: Column, name: str, s: Settings) -> DataFrame:
     """``rows`` with the tokens of every word of ``words`` (array<array<string>>), in arrays of
     the same form. A worker counts a word once, as long as it remembers it."""
@@ -68,16 +78,20 @@ def counted(rows: DataFrame, words: Column, name: str, s: Settings) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = load(), {}
-        for b in batches:
-            lists = b.column("_words").to_pylist()
-            new = sorted({w for ws in lists for x in ws or () for w in x or ()} - known.keys())
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+            lists = b.column("_words")
+            inner = lists.flatten()
+            coded = inner.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
             if len(known) > REMEMBERED:
                 known.clear()
-                new = sorted({w for ws in lists for x in ws or () for w in x or ()})
+            new = sorted(set(words) - known.keys())
             known.update(zip(new, count(new) if new else [], strict=True))
-            out = [None if ws is None else [[known[w] for w in x or ()] for x in ws] for ws in lists]
+            sizes = np.array([known[w] for w in words], dtype=np.int32)[coded.indices.to_numpy()]
+            out = pa.ListArray.from_arrays(_offsets(inner), pa.array(sizes, pa.int32()))
+            out = pa.ListArray.from_arrays(_offsets(lists), out, mask=lists.is_null())
             rest = b.drop_columns(["_words"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.list_(pa.list_(pa.int32())))], [*rest.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*rest.columns, out], [*rest.schema.names, name])
 
     ship()
     return rows.withColumn("_words", words).mapInArrow(run, schema)

@@ -130,3 +130,13 @@ def test_time_follows_the_length(spark, what):
     large, many = took(200_000)
     assert 9 < many / few < 13
     assert large < 25 * small + 3  # a quadratic fold takes a hundred times as long
+
+
+def test_words_are_counted_as_arrays(spark, monkeypatch):
+    """Nulls, empty lists and repeated words, over several blocks of rows; strings are made
+    of distinct words only."""
+    lists = [None, [], [[]], [None, ["a", "bbbb", "a"]], [["cc"], [], ["a" * 7, "a"]]] * 5
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, w array<array<string>>").coalesce(1)
+    monkeypatch.setattr(tokens, "ROWS", 3)
+    got = {r.k: r.n for r in tokens.counted(df, F.col("w"), "n", RULE).collect()}
+    assert got == {k: None if x is None else [[-(-len(w) // 3) for w in ws or ()] for ws in x] for k, x in enumerate(lists)}
