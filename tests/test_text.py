@@ -140,6 +140,13 @@ def test_small_helpers(value):
     assert value(text.without_freshness(L("A b. Last updated from sources: 2026-01-31"))) == "A b."
 
 
+def test_bare_labels_have_no_decimal_digit(spark):
+    starts = (ord("0"), 0x0660, 0xFF10, 0x11F50, 0x16AC0, 0x1E4F0)
+    given = [(f"a{chr(k + i)}", not 0 <= i < 10) for k in starts for i in range(-1, 11)] + [("Rating", True), ("", True)]
+    rows = spark.createDataFrame(given, "x string, bare boolean")
+    assert rows.where(text.is_bare_label(F.col("x")) != F.col("bare")).collect() == []
+
+
 def test_tokens_counted_by_a_tokenizer(spark):
     from citewell.config import Settings
 
