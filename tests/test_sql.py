@@ -42,3 +42,8 @@ PARTS += ["", "", "﷐", "\xa0", "\r\n", "\x1f", "‌"]
 def test_sentences_docs_two_abbreviations_in_a_row(differences):
     given = ["Say no no. No. Ñ ends. Mr. Dr.\nWho", "It was 1. 2. 3 then. . B", "a. B. C", None, "", " \n"]
     assert differences("sentences_docs", given + texts(3000, PARTS)) == ([], [])
+
+
+def test_truncate_docs_two_abbreviations_in_a_row(differences):
+    given = ["Say no no. No. Ñ ends. And. More.", "It was 1. 2. 3 then. So. On.", None, ""]
+    assert differences("truncate_docs", given + texts(500, PARTS, seed=2)) == ([], [])
