@@ -47,3 +47,14 @@ def test_sentences_docs_two_abbreviations_in_a_row(differences):
 def test_truncate_docs_two_abbreviations_in_a_row(differences):
     given = ["Say no no. No. Ñ ends. And. More.", "It was 1. 2. 3 then. So. On.", None, ""]
     assert differences("truncate_docs", given + texts(500, PARTS, seed=2)) == ([], [])
+
+
+#: Documents without text, source or language, with ids of any size, and with a text that has a header's mark.
+BARE = [(7, "A b.", None, "s"), (8, "A b.", "en", None), (10**15 + 1, "A b.\nC", "en", "s"), (-3, "A b.", "", " "), (9, None, "en", "s"), (11, "", "en", "s"), (12, " \n\t", "en", "s"), (13, "see [Scheme: x", "en", "s"), (14, "see [Scheme: x", "e  n", "a\xa0 b"), (17, "[Scheme: x", "en", "s")]
+WORDS = ["A long word ", "no no. No. ", "Fee: 1.2%\n", "x½²: 5\n", "éte: 5\n", "Fee\n", "٣٫٤\n", "₹٣٤\n", "\t12\t\n", "Rs. 5\n", "+1,000\x1f%\n", "12\xa0%\n", "Fee ٣\n", "ſ", "Mr. ", "1. 2. 3 ", "So it ends. ", "and on! ", "\n", "w" * 700 + " ", "‌", ""]
+
+
+@pytest.mark.parametrize("name", ["chunk_counted"])
+def test_odd_documents(differences, name):
+    rows = BARE + [(1000 + k, t, "en", "src1") for k, t in enumerate(texts(150, WORDS, 25, seed=3) + texts(20, WORDS, 600, seed=4))]
+    assert differences(name, rows) == ([], [])
