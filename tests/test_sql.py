@@ -54,7 +54,7 @@ BARE = [(7, "A b.", None, "s"), (8, "A b.", "en", None), (10**15 + 1, "A b.\nC",
 WORDS = ["A long word ", "no no. No. ", "Fee: 1.2%\n", "x½²: 5\n", "éte: 5\n", "Fee\n", "٣٫٤\n", "₹٣٤\n", "\t12\t\n", "Rs. 5\n", "+1,000\x1f%\n", "12\xa0%\n", "Fee ٣\n", "ſ", "Mr. ", "1. 2. 3 ", "So it ends. ", "and on! ", "\n", "w" * 700 + " ", "‌", ""]
 
 
-@pytest.mark.parametrize("name", ["chunk_counted", "chunk_violations", "chunk_reports", "chunk_windows", "chunk_index"])
+@pytest.mark.parametrize("name", ["chunk_counted", "chunk_windows", "chunk_reports", "chunk_index", "chunk_violations", "line_shapes"])
 def test_odd_documents(differences, name):
     rows = BARE + [(1000 + k, t, "en", "src1") for k, t in enumerate(texts(150, WORDS, 25, seed=3) + texts(20, WORDS, 600, seed=4))]
     assert differences(name, rows) == ([], [])
